@@ -6,9 +6,45 @@ of ``documents``. ``run`` writes each stage's rows as Parquet in the shared fold
 
 from __future__ import annotations
 
-STAGES = []
+import tempfile
+import uuid
+
+from quire.llm import packing, quality, simhash, toxicity
+from quire.llm.common import table
+
+
+def keep_civil(spark, docs, sf_dir):
+    """Documents whose toxicity score is under the threshold; labels come from ``labels``, examples from ``docs``."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_good(spark, docs, sf_dir):
+    """Documents that pass the base rules and are no outlier of their language and source."""
+    return quality.drop_low_quality(docs)
+
+
+def keep_first_copies(spark, docs, sf_dir):
+    """Of each class of near-duplicates, the document with the smallest id."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Every piece of every document with its sequence and offset."""
+    return packing._packed(docs)
+
+
+STAGES = [("toxicity", keep_civil), ("quality", keep_good), ("near_duplicates", keep_first_copies), ("packing", pack_sequences)]
+
+#: Neither XXH64 votes, tokenizer ids nor nearest labelled examples can be stated in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """All stages over ``documents``; returns the rows of the last."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
+    top = f"{top}/corpus-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+    return docs

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import quality, simhash, toxicity
+from quire.llm import packing, quality, simhash, toxicity
 
-_QUERIES = [quality.op3_quality, simhash.op7_simhash, toxicity.op9_toxicity]
+_QUERIES = [quality.op3_quality, packing.op5_packing, simhash.op7_simhash, toxicity.op9_toxicity]
 
 
 def queries():
