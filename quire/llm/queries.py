@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.llm import packing, quality, simhash, toxicity
+from quire.llm import language, media, packing, quality, simhash, toxicity
 
-_QUERIES = [quality.op3_quality, packing.op5_packing, simhash.op7_simhash, toxicity.op9_toxicity]
+_QUERIES = [quality.op3_quality, media.op4_transport_stream, packing.op5_packing, simhash.op7_simhash, toxicity.op9_toxicity, language.op10_language]
 
 
 def queries():
