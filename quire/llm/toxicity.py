@@ -43,62 +43,82 @@ class Counts:
         self.vocabulary, self.cache = vocabulary, {}
 
     def __call__(self, text: bytes | None) -> Counter:
+        found: Counter = Counter()
         if not text or not self.vocabulary:
-            return Counter()
-        cache, found = self.cache, []
-        for word in WORD.findall(text.decode("utf-8", "replace").lower()):
-            own = cache.get(word)
+            return found
+        cache = self.cache
+        for token, n in Counter(text.decode("utf-8", "replace").lower().split()).items():
+            own = cache.get(token)
             if own is None:
                 if len(cache) >= CACHED:
                     cache.clear()
-                own = cache[word] = tuple(i for f in features(word) if (i := self.vocabulary.get(f)) is not None)
-            if own:
-                found += own
-        return Counter(found)
+                own = tuple(i for w in WORD.findall(token) for f in features(w) if (i := self.vocabulary.get(f)) is not None)
+                if len(token) <= 64:
+                    cache[token] = own
+            for i in own:
+                found[i] += n
+        return found
 
 
 class BlockMax:
-    """Example vectors in blocks with the largest weight of each term; finds all examples at or above the k-th cosine."""
+    """Inverted lists of example vectors, cut into blocks of examples that keep each term's largest weight.
+
+    ``search`` evaluates the most promising blocks, takes the k-th cosine found there, then evaluates every block whose
+    bound reaches it, and no other.
+    """
+
+    FIRST = 4  # blocks that are evaluated to get a threshold
 
     def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, int, int, list]], n_terms: int, k: int):
         """rows: term ids (ascending), unit weights, examples, positive examples, some of their ids."""
         self.k = k
-        rows = sorted(rows, key=lambda r: (int(r[0][np.argmax(r[1])]), r[0].tolist(), r[1].tolist()))
         self.n, self.pos, self.ids = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]), [r[4] for r in rows]
-        self.blocks, lists = [], {}
-        for b, at in enumerate(range(0, len(rows), BLOCK)):
-            own = rows[at : at + BLOCK]
-            terms = np.unique(np.concatenate([r[0] for r in own]))
-            weights = np.zeros((len(terms), len(own)))
-            for j, r in enumerate(own):
-                weights[np.searchsorted(terms, r[0]), j] = r[1]
-            self.blocks.append((at, terms, weights))
-            for t, most in zip(terms.tolist(), weights.max(axis=1).tolist()):
-                lists.setdefault(t, []).append((b, most))
-        self.lists = {t: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for t, v in lists.items()}
+        self.n_blocks = -(-len(rows) // BLOCK)
+        term = np.concatenate([r[0] for r in rows])
+        entry = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+        order = np.lexsort((entry, term))
+        self.entry, self.weight, term = entry[order], np.concatenate([r[1] for r in rows])[order], term[order]
+        block = self.entry // BLOCK
+        self.start = np.concatenate(([0], np.flatnonzero((term[1:] != term[:-1]) | (block[1:] != block[:-1])) + 1))
+        self.size = np.diff(np.append(self.start, len(term)))
+        self.most, self.block = np.maximum.reduceat(self.weight, self.start), block[self.start]
+        self.cells = np.searchsorted(term[self.start], np.arange(n_terms + 1))  # cells of term t: cells[t] to cells[t + 1]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Entries and cosines of all examples at least as near as the k-th; ``without``: one example of this entry is left out."""
-        bound = np.zeros(len(self.blocks))
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            if t in self.lists:
-                at, most = self.lists[t]
-                bound[at] += w * most
-        entries, cosines, least = np.zeros(0, int), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            at, own, matrix = self.blocks[b]
-            place = np.minimum(np.searchsorted(own, terms), len(own) - 1)
-            hit = own[place] == terms
-            near = weights[hit] @ matrix[place[hit]]
-            entries, cosines = np.append(entries, np.arange(at, at + len(near))), np.append(cosines, near)
-            order = np.argsort(-cosines, kind="stable")
-            count = self.n[entries[order]] - (entries[order] == without)
-            enough = np.flatnonzero(np.cumsum(count) >= self.k)
-            least = cosines[order[enough[0]]] if len(enough) else 0.0
-        keep = (cosines > 0) & (cosines >= least - 1e-9)
-        return entries[keep], cosines[keep]
+        first, count = self.cells[terms], self.cells[terms + 1] - self.cells[terms]
+        cell = _ranges(first, count)
+        w = np.repeat(weights, count)
+        block = self.block[cell]
+        bound = np.bincount(block, w * self.most[cell], self.n_blocks)
+        chosen = np.zeros(self.n_blocks, bool)
+        if self.n_blocks > self.FIRST:
+            chosen[np.argpartition(-bound, self.FIRST)[: self.FIRST]] = True
+            near = self._cosines(cell, w, chosen[block])
+            rest = ~chosen & (bound > 0) & (bound >= self._kth(near, without) - 1e-9)
+            if rest.any():
+                near = near + self._cosines(cell, w, rest[block])
+        else:
+            near = self._cosines(cell, w, chosen[block] | True)
+        found = np.flatnonzero((near > 0) & (near >= self._kth(near, without) - 1e-9))
+        return found, near[found]
+
+    def _cosines(self, cell: np.ndarray, w: np.ndarray, keep: np.ndarray) -> np.ndarray:
+        own, w = cell[keep], w[keep]
+        at = _ranges(self.start[own], self.size[own])
+        return np.bincount(self.entry[at], np.repeat(w, self.size[own]) * self.weight[at], len(self.n))
+
+    def _kth(self, near: np.ndarray, without: int | None) -> float:
+        """The k-th largest cosine over examples, 0 if fewer have any; at most k entries hold k examples."""
+        top = np.argpartition(-near, self.k)[: self.k + 1] if len(near) > self.k + 1 else np.arange(len(near))
+        top = top[np.argsort(-near[top], kind="stable")]
+        enough = np.flatnonzero(np.cumsum(self.n[top] - (top == without)) >= self.k)
+        return float(near[top[enough[0]]]) if len(enough) else 0.0
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... count[0] numbers, then the same from first[1], and so on."""
+    return np.arange(int(count.sum())) + np.repeat(first - np.cumsum(count) + count, count)
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +156,12 @@ class Model:
             found.append((key, label))
         base = total[1] / total[0] if total[0] else 0.0
         self.empty = (bare[1] + base) / (bare[0] + 1) if total[0] else 0.0
-        self.index = BlockMax([tuple(r) for r in entries.values()], len(vocabulary), k) if entries else None
+        # Entries that share their weightiest term stand together, so that few blocks matter to one text.
+        order = sorted(entries, key=lambda e: (int(entries[e][0][np.argmax(entries[e][1])]), entries[e][0].tolist(), entries[e][1].tolist()))
+        self.index = BlockMax([tuple(entries[e]) for e in order], len(vocabulary), k) if entries else None
         self.knots = (np.zeros(1), np.full(1, self.empty))
         if entries:
-            place = {r[0].tobytes() + r[1].tobytes(): i for i, r in enumerate(sorted(entries.values(), key=lambda r: (int(r[0][np.argmax(r[1])]), r[0].tolist(), r[1].tolist())))}
+            place = {e: i for i, e in enumerate(order)}
             known: dict[tuple[bytes, int], float] = {}
             for key, label in found:
                 if (key, label) not in known:
@@ -185,7 +207,7 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return F.broadcast(chosen).join(docs.select(F.col("doc_id").alias("id"), "text"), F.col("doc_id") == F.col("id")).select("id", "label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_384, most_terms: int = 4_096, least_g: float = 40.0, k: int = 25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int = 2_048, least_g: float = 40.0, k: int = 25) -> Model:
     """Learn from a bounded sample of labelled rows; count the kept terms over all ``docs``."""
     rows = cut(training(docs, labels, sample))
 
