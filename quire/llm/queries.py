@@ -1,10 +1,19 @@
-"""The registered query of each training-data operator."""
+"""The registered query of each training-data operator, and SQL where it can state the same."""
 
 from __future__ import annotations
 
-from quire.llm import language, media, packing, quality, simhash, toxicity
+from quire.llm import chat, language, media, packing, quality, simhash, toxicity, urls
 
-_QUERIES = [quality.op3_quality, media.op4_transport_stream, packing.op5_packing, simhash.op7_simhash, toxicity.op9_toxicity, language.op10_language]
+_QUERIES = [
+    quality.op3_quality,
+    media.op4_transport_stream,
+    packing.op5_packing,
+    urls.op6_url_filter,
+    simhash.op7_simhash,
+    chat.op8_preferences,
+    toxicity.op9_toxicity,
+    language.op10_language,
+]
 
 
 def queries():
@@ -12,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op6_url_filter": urls.OP6_SQL, "op8_preferences": chat.OP8_SQL}
