@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import chat, language, media, packing, quality, simhash, toxicity, urls
+from quire.llm import chat, language, licenses, media, packing, pieces, quality, simhash, toxicity, urls
 
 _QUERIES = [
+    licenses.op1_licenses,
+    pieces.op2_sentencepiece,
     quality.op3_quality,
     media.op4_transport_stream,
     packing.op5_packing,
