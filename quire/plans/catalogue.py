@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quire.plans import registry, state_queries, term_queries, text_queries  # noqa: F401 - importing registers the queries
+
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLES)
