@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ def glossary(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
     counted = words.groupBy("lang", "source").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "source")) - 1
     top = counted.withColumn("rank", rank).where(F.col("rank") < most)
+    upper = F.translate("source", string.ascii_lowercase, string.ascii_uppercase)  # ASCII letters only, as engines differ beyond them
     policies = F.array(*map(F.lit, ["automatic", "fixed", "non_fixed", "ignored"]))
     shared = F.concat(F.lit("ALIAS"), F.floor(F.col("rank") / 2))
     return top.select(
@@ -52,7 +55,7 @@ def glossary(spark: SparkSession, sf_dir: str, most: int = 50) -> DataFrame:
         "rank",
         "source",
         F.concat(F.lit("[t] "), "source").alias("target"),
-        F.when(F.col("rank") % 5 == 0, F.array(F.upper("source"), shared)).when(F.col("rank") % 5 == 1, F.array(shared)).otherwise(F.array(F.upper("source"))).alias("aliases"),
+        F.when(F.col("rank") % 5 == 0, F.array(upper, shared)).when(F.col("rank") % 5 == 1, F.array(shared)).otherwise(F.array(upper)).alias("aliases"),
         F.get(policies, F.col("rank") % 4).alias("policy"),
         F.col("rank").alias("first_chapter"),
     )
@@ -62,7 +65,7 @@ GLOSSARY = r"""words as (select lang, unnest(regexp_extract_all(lower(text), '\p
 counted as (select lang, source, count(*) as n from words group by all),
 ranked as (select lang, source, row_number() over (partition by lang order by n desc, source) - 1 as rank from counted qualify rank < 50),
 glossary as (select lang, rank, source, '[t] ' || source as target,
-  case when rank % 5 = 0 then [upper(source), 'ALIAS' || (rank // 2)] when rank % 5 = 1 then ['ALIAS' || (rank // 2)] else [upper(source)] end as aliases,
+  case when rank % 5 = 0 then [translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 'ALIAS' || (rank // 2)] when rank % 5 = 1 then ['ALIAS' || (rank // 2)] else [translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')] end as aliases,
   ['automatic', 'fixed', 'non_fixed', 'ignored'][rank % 4 + 1] as policy, rank as first_chapter from ranked)"""
 
 
