@@ -11,9 +11,10 @@ import string
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 #: Marks that do not distinguish two translations, beside ASCII punctuation.
 DECORATIVE = "。、，．！？：；・·…「」『』《》〈〉【】（）“”‘’—–～〜"
@@ -34,8 +35,12 @@ def signature(text: str) -> str:
     return "".join(c for c in fold(text) if not c.isspace() and c not in _DROPPED)
 
 
+_WORD = regex.compile(r"[\p{Alphabetic}\p{N}]")
+
+
 def is_word(c: str) -> bool:
-    return c.isalpha() or unicodedata.category(c)[0] == "N" or unicodedata.category(c) in ("Mc", "Mn") and c.isalnum()
+    """Alphabetic, which some marks are too, or a number of any kind."""
+    return bool(_WORD.match(c))
 
 
 def folded_match(text: str, needle: str) -> bool:
@@ -108,6 +113,12 @@ def matches_folded(text: pd.Series, needle: pd.Series) -> pd.Series:
     return pd.Series([isinstance(t, str) and isinstance(n, str) and folded_match(t, n) for t, n in zip(text, needle)])
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def any_of_folded(text: pd.Series, needles: pd.Series) -> pd.Series:
+    """For each needle of a list whether it matches the text."""
+    return pd.Series([[isinstance(t, str) and folded_match(t, n) for n in own] for t, own in zip(text, needles)])
+
+
 @F.pandas_udf(BooleanType())
 def is_copied(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([isinstance(s, str) and isinstance(t, str) and copied(s, t) for s, t in zip(source, target)])

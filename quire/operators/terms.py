@@ -10,42 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.matching import folded, matches_folded
-from quire.functions.text import has_cjk, strip
+from quire.functions.matching import any_of_folded, folded, matches_folded
+from quire.functions.text import CJK, has_cjk, strip
+from quire.operators.common import settled, small_join
 
 ACTIVE = ["automatic", "fixed"]
 
 
 def needles(terms: DataFrame, book: list[str]) -> DataFrame:
     """(book, source, needle, is_alias): each term's own wording and its aliases, folded; empty ones go."""
-    own = terms.select(*book, "source", F.col("source").alias("__text"), F.lit(False).alias("is_alias"))
-    other = terms.select(*book, "source", F.explode("aliases").alias("__text"), F.lit(True).alias("is_alias"))
-    return own.unionByName(other).withColumn("needle", folded("__text")).drop("__text").where("needle <> ''")
+    own = F.array(F.struct(F.col("source").alias("text"), F.lit(False).alias("is_alias")))
+    others = F.transform(F.coalesce("aliases", F.expr("cast(array() as array<string>)")), lambda a: F.struct(a.alias("text"), F.lit(True).alias("is_alias")))
+    rows = terms.select(*book, "source", F.explode(F.concat(own, others)).alias("__n"))
+    return rows.select(*book, "source", folded("__n.text").alias("needle"), F.col("__n.is_alias").alias("is_alias")).where("needle <> ''")
 
 
 def _tokens(text: Column) -> Column:
-    """What a needle's key may be: maximal runs of letters and numbers, single CJK letters, and single other characters."""
-    return F.array_distinct(F.concat(F.split(F.regexp_replace(text, r"[^\p{IsAlphabetic}\p{N}]+", " "), " "), F.split(text, "")))
+    """What a needle's key may be: runs of letters and numbers, and single CJK letters or other characters."""
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0))
+    single = F.regexp_extract_all(text, F.lit(rf"[{CJK}]|[^\p{{IsAlphabetic}}\p{{N}}]"), F.lit(0))
+    return F.array_distinct(F.concat(runs, single))
 
 
 def _key(needle: Column) -> Column:
-    """A token that every matching text has: the first run of word characters, else the first character; the first letter if CJK."""
+    """A token that every matching text has: the first CJK letter, else the run of word characters it begins with, else its first character."""
     run = F.regexp_extract(needle, r"^[\p{IsAlphabetic}\p{N}]+", 0)
-    return F.when(has_cjk(needle) | (run == ""), F.left(F.ltrim(needle), F.lit(1))).otherwise(run)
+    return F.when(has_cjk(needle), F.regexp_extract(needle, f"[{CJK}]", 0)).when(run == "", F.left(needle, F.lit(1))).otherwise(run)
 
 
 def matches(texts: DataFrame, book: list[str], text_id: str, text: str, terms: DataFrame, stable: bool = False) -> DataFrame:
-    """(book, text_id, source, needle, is_alias) for each needle that matches a text.
+    """(book, text_id, source, needle, is_alias) for each needle that matches a text; text_id is unique in its book.
 
-    ``stable`` says that lower-casing folds these texts, which then needs no Python.
+    ``stable`` says that lower-casing folds these texts, which then needs no Python. Tokens travel without their text.
+    A needle that is one run of word characters matches as soon as the run does; only longer needles, and those with
+    CJK letters, are verified, on one row per text.
     """
-    folding = F.lower(text) if stable else folded(text)
-    held = texts.select(*book, text_id, folding.alias("__text"))
+    held = texts.select(*book, text_id, (F.lower(text) if stable else folded(text)).alias("__text"))
     wanted = needles(terms, book).withColumn("__key", _key(F.col("needle")))
-    # Only tokens that begin some needle are joined further; the glossary's keys are few, and joined without a hint.
-    spread = held.select(*book, text_id, "__text", F.explode(_tokens(F.col("__text"))).alias("__key"))
-    pairs = spread.join(wanted, [*book, "__key"])
-    return pairs.where(matches_folded("__text", "needle")).select(*book, text_id, "source", "needle", "is_alias")
+    wanted = settled(wanted.withColumn("__sure", (F.col("needle") == F.col("__key")) & ~has_cjk("needle") & F.col("needle").rlike(r"[\p{IsAlphabetic}\p{N}]")))
+    spread = held.select(*book, text_id, F.explode(_tokens(F.col("__text"))).alias("__key"))
+    pairs = small_join(spread, wanted, [*book, "__key"]).drop("__key")
+    sure = pairs.where("__sure").drop("__sure")
+    if wanted.where("not __sure").isEmpty():
+        return sure.select(*book, text_id, "source", "needle", "is_alias")
+    one = F.collect_set(F.struct("source", "needle", "is_alias")).alias("__pairs")
+    open_ = pairs.where("not __sure").groupBy(*book, text_id).agg(one).join(held, [*book, text_id])
+    checked = open_.withColumn("__ok", any_of_folded("__text", F.transform("__pairs", lambda x: x["needle"])))
+    checked = checked.select(*book, text_id, F.explode(F.arrays_zip("__pairs", "__ok")).alias("__p")).where("__p.__ok").select(*book, text_id, "__p.__pairs.*")
+    return sure.unionByName(checked).select(*book, text_id, "source", "needle", "is_alias")
 
 
 def relevant(texts: DataFrame, book: list[str], text_id: str, text: str, terms: DataFrame, stable: bool = False) -> DataFrame:

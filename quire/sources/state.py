@@ -25,7 +25,7 @@ def read_projects(spark: SparkSession, path: str) -> DataFrame:
 
 def read_chapters(spark: SparkSession, path: str) -> DataFrame:
     """Chapters with their place: the number in the id, those without one last."""
-    rows = spark.read.schema(CHAPTER).option("recursiveFileLookup", "true").json(path)
+    rows = spark.read.schema(CHAPTER).json(path)
     return rows.withColumn("place", F.coalesce(F.regexp_extract("id", r"^chapter-(\d{1,18})", 1).try_cast("long"), F.lit(9_223_372_036_854_775_807)))
 
 
