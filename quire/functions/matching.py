@@ -127,3 +127,31 @@ def is_copied(source: pd.Series, target: pd.Series) -> pd.Series:
 def borders_match(text: Column, needle: Column) -> Column:
     """The built-in form for lower-cased text and needles without CJK letters."""
     return F.rlike(text, F.concat(F.lit(r"(?<![\p{IsAlphabetic}\p{N}])\Q"), needle, F.lit(r"\E(?![\p{IsAlphabetic}\p{N}])")))
+
+
+_AUTOMATA: dict[int, object] = {}
+
+
+def occurring(spark, words: list[str]):
+    """A function of a text column: the distinct ``words`` that occur in it as they stand, by one automaton that each worker builds once."""
+    shared = spark.sparkContext.broadcast(words)
+    number = shared._jbroadcast.id()
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(text: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        own = _AUTOMATA.get(number)
+        if own is None:
+            own = ahocorasick.Automaton()
+            for w in shared.value:
+                if w:
+                    own.add_word(w, w)
+            own.make_automaton()
+            _AUTOMATA.clear()
+            _AUTOMATA[number] = own
+        if not len(own):
+            return pd.Series([[]] * len(text))
+        return text.map(lambda t: sorted({w for _, w in own.iter(t)}) if isinstance(t, str) else [])
+
+    return run

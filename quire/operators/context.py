@@ -27,11 +27,14 @@ def recent(items: DataFrame, book: list[str], order: list[str], value: Column, u
     df = items.select(*book, *order, value.alias("value"))
     df = df.withColumn("p", F.row_number().over(own)).withColumn("gap", F.col("value").isNull().cast("int"))
     df = df.withColumn("g", F.sum("gap").over(sofar)).withColumn("cs", F.sum(F.coalesce(F.length("value"), F.lit(0))).over(sofar))
-    # The run that a segment looks back on, and the characters up to it.
+    # The run that a segment looks back on, and the characters up to it. What it can reach ends in the same stretch of
+    # ``budget`` characters or the one before, so the join is on stretches, not on whole runs.
+    stretch = lambda c: F.floor(F.col(c) / max(1, budget)).cast("long")
     ahead = df.select(*book, *order, "p", (F.col("g") - F.col("gap")).alias("run"), (F.col("cs") - F.coalesce(F.length("value"), F.lit(0))).alias("upto"))
-    past = df.where("gap = 0").select(*book, F.col("g").alias("run"), F.col("p").alias("recent_p"), "cs", "value")
+    ahead = ahead.withColumn("stretch", F.explode(F.array(stretch("upto"), stretch("upto") - 1)))
+    past = df.where("gap = 0").select(*book, F.col("g").alias("run"), F.col("p").alias("recent_p"), "cs", "value", stretch("cs").alias("stretch"))
     left = F.lit(budget) - (F.col("upto") - F.col("cs"))
-    found = ahead.join(past, [*book, "run"]).where((F.col("recent_p") < F.col("p")) & (F.col("upto") - F.col("cs") < budget))
+    found = ahead.join(past, [*book, "run", "stretch"]).where((F.col("recent_p") < F.col("p")) & (F.col("upto") - F.col("cs") < budget))
     return found.select(*book, *order, "p", "recent_p", F.right(F.col("value"), left).alias("recent"))
 
 

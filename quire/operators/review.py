@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.matching import occurring
 from quire.functions.text import is_blank, issue_id
+from quire.operators.common import FEW, settled
 
 
 def untranslated(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -18,11 +20,21 @@ def untranslated(segments: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def terminology(segments: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Segments whose source has a term as it stands while the target lacks its translation. The predicate is a raw substring test, so it joins on nothing but the book."""
+    """Segments whose source has a term as it stands while the target lacks its translation.
+
+    Sources are read once by an automaton of all term wordings (in blocks of FEW), and what occurs is joined with the
+    terms of the book, so segments never meet terms that they do not hold.
+    """
     rows = segments.select(*keys, "chapter_id", F.col("id").alias("segment_id"), "source", F.coalesce("target", F.lit("")).alias("__target"))
-    own = terms.select(*keys, F.col("source").alias("__term"), F.col("target").alias("__want"))
-    found = rows.join(own, keys) if keys else rows.crossJoin(own)
-    found = found.where(F.contains("source", F.col("__term")) & ~F.contains("__target", F.col("__want")))
+    own = terms.select(*keys, F.col("source").alias("__term"), F.col("target").alias("__want")).where("__term is not null and __want is not null")
+    words = settled(own.select("__term").where("__term <> ''").distinct())
+    blocks = max(1, -(-words.count() // FEW))
+    found = None
+    for k in range(blocks):
+        block = [r[0] for r in words.where(F.pmod(F.xxhash64("__term"), F.lit(blocks)) == k).collect()]  # about FEW rows
+        hits = rows.withColumn("__term", F.explode(occurring(rows.sparkSession, sorted(block))("source"))).drop("source")
+        found = hits if found is None else found.unionByName(hits)
+    found = found.join(own, [*keys, "__term"]).where(~F.contains("__target", F.col("__want")))
     place = F.row_number().over(Window.partitionBy(*keys, "chapter_id", "segment_id").orderBy("__term")) + 1
     return found.select(*keys, "chapter_id", "segment_id", F.lit("terminology").alias("issue_type"), F.lit("major").alias("severity"), F.concat(F.lit("term: "), "__want").alias("summary"), place.alias("place"))
 

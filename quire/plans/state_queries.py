@@ -185,7 +185,7 @@ WANTED = "wanted as (select source, target from glossary where lang = 'en' and r
 @query(f"with {DIALOGUE}, {GLOSSARY}, {WANTED} select d.id as segment_id, w.target as wanted from dialogue d join wanted w on contains(d.source, w.source) and not contains(coalesce(d.target, ''), w.target)")
 def review_terminology(spark, sf_dir):
     own = glossary(spark, sf_dir).where("lang = 'en' and rank < 20").select("source", "target")
-    found = review.terminology(dialogue(spark, sf_dir).drop("book"), F.broadcast(own), [])  # twenty rows
+    found = review.terminology(dialogue(spark, sf_dir).drop("book"), own, [])
     return found.select("segment_id", F.substring("summary", 7, 1000).alias("wanted"))
 
 

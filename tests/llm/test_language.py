@@ -34,7 +34,7 @@ def test_mixed_text_has_spans(spark):
     text = "the house and the river that they think река и дом где люди говорят mit vielen worten die wir denken und sprechen"
     lang, score, spans = language.labelled(model, [text.encode()], 6.0)[0]
     assert [s[2] for s in spans] == ["en", "ru", "de"] and spans[1][:2] == (8, 6) and 0 < score < 1
-    cyrillic = model.score("дом")[0]
+    cyrillic = model.scores(["дом"])[0][0]
     assert cyrillic[model.langs.index("ru")] == 0 and cyrillic[model.langs.index("en")] <= -900
 
 
