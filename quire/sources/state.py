@@ -5,6 +5,7 @@ Writes go through Spark's commit protocol: a partition is replaced whole, or not
 
 from __future__ import annotations
 
+import json
 import tomllib
 from dataclasses import dataclass, field, fields, replace
 
@@ -64,7 +65,7 @@ def checked_snapshot(chapters: DataFrame, sources: DataFrame, projects: DataFram
     return chapters.join(own, "project_id").where("__ok").drop("__ok")
 
 
-ANALYSIS = ["genre", "tone", "audience", "setting", "synopsis", "narrator", "era"]
+ANALYSIS = ["genre", "tone", "narration", "pacing", "register", "dialogue_style", "rhetoric"]
 
 
 def analysis_errors(analyses: DataFrame) -> DataFrame:
@@ -111,3 +112,22 @@ def read_options(text: str) -> Options:
         flat |= value if isinstance(value, dict) else {key: value}
     known = {f.name for f in fields(Options)} - {"extra"}
     return replace(Options(**{k: v for k, v in flat.items() if k in known}), extra={k: v for k, v in flat.items() if k not in known}).checked()
+
+
+def write_options(options: Options, path: str) -> None:
+    """Options as a TOML document on the driver's own disk; unknown keys that were read are not kept."""
+    lines = []
+    for f in fields(Options):
+        value = getattr(options, f.name)
+        if f.name != "extra" and value is not None:
+            lines.append(f"{f.name} = {str(value).lower() if isinstance(value, bool) else value if isinstance(value, int) else json.dumps(value)}")
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("\n".join(lines) + "\n")
+
+
+def project_list(projects: DataFrame, logs: DataFrame, covers: DataFrame) -> DataFrame:
+    """Projects, the last updated first, with whether their analysis was completed and their cover's data URL."""
+    ready = logs.where("event = 'analysis_completed'").select(F.col("project_id").alias("id")).distinct().withColumn("__ready", F.lit(True))
+    art = covers.select(F.col("project_id").alias("id"), F.col("url").alias("cover"))
+    found = projects.join(ready, "id", "left").join(art, "id", "left")
+    return found.withColumn("initialized", F.coalesce("__ready", F.lit(False))).drop("__ready").orderBy(F.desc("updated_at"), "id")

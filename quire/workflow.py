@@ -187,3 +187,11 @@ class Workflow:
         counts = progress.by_chapter(self.segments(project_id), ["chapter_id"])
         rows = self.chapters(project_id).select(F.col("id").alias("chapter_id"), "place", "title").join(counts, "chapter_id", "left")
         return rows.orderBy("place").select("chapter_id", "title", F.coalesce("translated", F.lit(0)).alias("translated"), F.coalesce("total", F.lit(0)).alias("total"))
+
+    def delete(self, project_id: str) -> None:
+        """Remove a project and its chapters; logs and usage stay."""
+        state.by_id(self.projects(), project_id)
+        kept = settled(self.projects().where(F.col("id") != project_id))
+        kept.write.mode("overwrite").json(self._path("projects"))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(f"chapters/project_id={project_id}"))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
