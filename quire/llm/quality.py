@@ -192,8 +192,9 @@ def verdicts(docs: DataFrame, least_rows: int = 60, tail: float = 1e-6) -> DataF
     passed = stats.where(~F.col("base_failed"))
     sizes = cut(passed.groupBy("key", "key_lang").agg(F.count("*").alias("n")))
     by_lang = sizes.groupBy("key_lang").agg(F.sum("n").alias("n_lang"))
-    groups = sizes.join(by_lang, "key_lang").crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("n_all"))))  # one row
-    chosen = F.when(F.col("n") >= least_rows, F.col("key")).when(F.col("n_lang") >= least_rows, F.col("key_lang")).when(F.col("n_all") >= least_rows, F.lit(""))
+    groups = sizes.join(by_lang, "key_lang")
+    enough = (sizes.agg(F.sum("n")).first()[0] or 0) >= least_rows
+    chosen = F.when(F.col("n") >= least_rows, F.col("key")).when(F.col("n_lang") >= least_rows, F.col("key_lang")).when(F.lit(enough), F.lit(""))
     groups = cut(groups.select("key", chosen.alias("g")))
     named = _attach(passed, groups, "key")
     # A pooled group holds all rows of its language, or all rows, not only those of its small sources.
