@@ -14,8 +14,8 @@ keep their rows; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections import defaultdict
 from functools import cache
 
@@ -27,33 +27,81 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, map_arrow, raw, table
 
 LENGTH, END = 4096, 1
-CACHED = 1_000_000
+CACHED = 500_000
 #: Where words of a text can influence each other: strings of special tokens, and controls that str.split() takes for white space.
-ODD = re.compile("<\\||[\x1c-\x1f]")
+ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Marks that the tokenizer takes off the end of a word of letters, all at once.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~"
+
+
+def _byte_letters() -> dict[int, str]:
+    """Bytes to the letters that byte-level vocabularies write them with: printable ones as themselves, the others from code point 256 on."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in kept)}
+
+
+class Recent:
+    """A bounded memory in two generations: when the young one is full it becomes the old one, from which what is asked for again returns."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian 32-bit arrays. The tokenizer never joins text across white space, so a word's ids are remembered, within a bound; texts with special strings are encoded whole."""
+    """Ids of whole texts as little-endian 32-bit arrays. The tokenizer never joins text across white space, so a word's ids are remembered, within a bound. New words of plain letters go straight to its merge table; texts with special strings are encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges, self.letters = self.tokenizer.model, _byte_letters()
+        self.words, self.runs = Recent(CACHED), Recent(CACHED)
 
     def __call__(self, text: str) -> np.ndarray:
-        if ODD.search(text):
+        if any(s in text for s in ODD):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        words, cache = text.split(), self.cache
-        found = list(map(cache.get, words))
-        if None in found:
-            fresh = list({w for w, ids in zip(words, found) if ids is None})
-            if len(cache) + len(fresh) > CACHED:
-                cache.clear()
-                fresh = list(set(words))
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            found = [cache[w] for w in words]
-        return np.frombuffer(b"".join(found), "<u4")
+        try:
+            text.encode("latin-1")  # such texts are composed, and lower-case letter by letter
+            words, plain = text.lower().split(), True
+        except UnicodeEncodeError:
+            words, plain = text.split(), False
+        self.words.turn()
+        known, old = self.words.young, self.words.old
+        for w in set(words).difference(known):
+            ids = old.get(w)
+            if ids is None:
+                letters = w.rstrip(MARKS) if plain else ""
+                if letters.isalpha():
+                    ids = self._run(letters)
+                    if len(letters) < len(w):
+                        ids += self._whole(w[len(letters) :])
+                else:
+                    ids = self._whole(w)
+            known[w] = ids
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+
+    def _run(self, letters: str) -> bytes:
+        runs = self.runs
+        ids = runs.young.get(letters)
+        if ids is None:
+            ids = runs.old.get(letters)
+            if ids is None:
+                spelled = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.merges.tokenize(spelled)]).tobytes()
+            runs.turn()
+            runs.young[letters] = ids
+        return ids
+
+    def _whole(self, word: str) -> bytes:
+        runs, key = self.runs, " " + word  # no run of letters begins with a space
+        ids = runs.young.get(key)
+        if ids is None:
+            ids = runs.young[key] = runs.old.get(key) or array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
 
 
 @cache
