@@ -46,7 +46,7 @@ SCRIPTS = [
     ("han", 0x4E00, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
 ]
-CACHED = 300_000
+CACHED, MOST_LANGS = 300_000, 1_000
 UND = "und"
 
 
@@ -56,49 +56,64 @@ def script_of(letter: str) -> str | None:
 
 
 class Model:
+    """Letter models of the languages. The score of a letter depends on it and the two before it, so each such window is scored once and remembered, within a bound, and a word is the sum of its windows."""
+
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]], scripts: dict[str, dict[str, int]]):
         self.langs, self.counts = langs, counts
         self.open = {}
         for s in {name for name, _, _ in SCRIPTS}:
             self.open[s] = np.array([scripts[x].get(s, 0) >= 0.01 * max(1, sum(scripts[x].values())) for x in langs], bool)
         self.sums = [sum(c for g, c in counts[x].items() if len(g) == 1) for x in langs]
-        self.cache: dict[str, tuple[np.ndarray, int]] = {}
-
-    def score(self, word: str) -> tuple[np.ndarray, int]:
-        """Log probability of a lower-cased word under each language, closed ones far below, and its letters."""
-        found = self.cache.get(word)
-        if found is None:
-            letters = "".join(LETTERS.findall(word))
-            if len(self.cache) >= CACHED:
-                self.cache.clear()
-            found = (self._letters(letters) if letters else np.zeros(len(self.langs)), len(letters))
-            if len(word) <= 64:
-                self.cache[word] = found
-        return found
-
-    def _letters(self, letters: str) -> np.ndarray:
-        total = np.zeros(len(self.langs))
-        marked = f"\x02{letters}\x03"
+        self._forget()
+
+    def _forget(self) -> None:
+        self.windows: dict[str, int] = {}
+        self.rows = np.zeros((1024, 2 * len(self.langs)))
+
+    def _window(self, window: str) -> int:
+        """Place of a window's row: log probability of its last letter under each language, then whether the letter's script is closed to it."""
+        at = len(self.windows)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         for j, lang in enumerate(self.langs):
-            counts, at = self.counts[lang], 0.0
-            for i in range(1, len(marked)):
-                p = (counts.get(marked[i], 0) + 0.05) / (self.sums[j] + 50)
-                for n in (2, 3):
-                    if i - n + 1 < 0:
-                        break
-                    gram = marked[i - n + 1 : i + 1]
-                    before = counts.get("^" + gram[:-1], 0)
-                    p = (counts.get(gram, 0) + 3 * p) / (before + 3)
-                at += np.log(p)
-            total[j] = at
-        seen = {s for s in map(script_of, letters) if s}
-        allowed = np.ones(len(self.langs), bool)
-        for s in seen:
-            if self.open[s].any():
-                allowed &= self.open[s]
-        if allowed.any():
-            total[~allowed] -= 1000.0
-        return np.maximum(total - total.max(), -1000.0)
+            counts = self.counts[lang]
+            p = (counts.get(window[-1], 0) + 0.05) / (self.sums[j] + 50)
+            for n in range(2, len(window) + 1):
+                p = (counts.get(window[-n:], 0) + 3 * p) / (counts.get("^" + window[-n:-1], 0) + 3)
+            self.rows[at, j] = np.log(p)
+        script = script_of(window[-1])
+        if script and self.open[script].any():
+            self.rows[at, len(self.langs) :] = ~self.open[script]
+        self.windows[window] = at
+        return at
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of lower-cased words under each language, the best 0 and closed ones far below; letters of each word. Words without letters score 0 everywhere."""
+        letters = [w if w.isalpha() else "".join(LETTERS.findall(w)) for w in words]
+        sizes = np.array([len(x) for x in letters], np.int64)
+        k = len(self.langs)
+        if len(self.windows) > CACHED:
+            self._forget()
+        known, new = self.windows, self._window
+        found = []
+        for x in letters:
+            if x:
+                m = f"\x02{x}\x03"
+                found.append(known[m[:2]] if m[:2] in known else new(m[:2]))
+                for i in range(3, len(m) + 1):
+                    w = m[i - 3 : i]
+                    at = known.get(w)
+                    found.append(new(w) if at is None else at)
+        total = np.zeros((len(words), k))
+        own = sizes > 0
+        if own.any():
+            starts = np.cumsum(sizes[own] + 1) - sizes[own] - 1
+            sums = np.add.reduceat(self.rows[np.array(found, np.int64)], starts, axis=0)
+            closed = sums[:, k:] > 0
+            closed[closed.all(axis=1)] = False
+            best = np.where(closed, -np.inf, sums[:, :k]).max(axis=1, keepdims=True)
+            total[own] = np.where(closed, -1000.0, np.maximum(sums[:, :k] - best, -1000.0))
+        return total, sizes
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
@@ -137,10 +152,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
 def fit(docs: DataFrame, per_lang: int = 1_500, most_grams: int = 20_000) -> Model:
     """Learn from about ``per_lang`` rows of each language whose crc32(id) mod 4 is not 2."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(crc32_of("doc_id") % 4 != 2).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").count()
-    share = sizes.select(F.col("lang").alias("__lang"), (F.lit(per_lang) / F.col("count") * 1_000_000).alias("__share"))
-    # Rows are dealt by hash, so no sort or window over a language is needed; languages are few, but joined without a hint.
-    sample = known.join(share, F.col("lang") == F.col("__lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("__share")).select("lang", "text")
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError("lang does not look like a language")
+    langs = sorted(sizes)
+    # Rows are dealt by hash against their language's share, so no sort, window or join over a language is needed.
+    share = F.lit(None).cast("double")
+    if langs:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, per_lang / sizes[lang] * 1_000_000)]), F.col("lang"))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -163,7 +183,6 @@ def fit(docs: DataFrame, per_lang: int = 1_500, most_grams: int = 20_000) -> Mod
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in keys], pa.string()), pa.array([x[1] for x in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"])
 
     total = map_arrow(sample, counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in sizes.select("lang").collect())  # one row per language
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
     scripts: dict[str, dict[str, int]] = {x: {} for x in langs}
     for r in total.orderBy(F.desc("n"), "lang", "gram").limit(most_grams * max(1, len(langs))).collect():
@@ -179,8 +198,7 @@ def labelled(model: Model, texts: list[bytes | None], penalty: float) -> list[tu
         return [(UND, 0.0, [])] * len(texts)
     place: dict[str, int] = {}
     at = np.array([place.setdefault(w, len(place)) for own in words for w in own], np.int64)
-    found = [model.score(w) for w in place]
-    scores, letters = np.array([f[0] for f in found]), np.array([f[1] for f in found])
+    scores, letters = model.scores(list(place))
     labels, weight = viterbi(scores[at], lengths, penalty), letters[at]
     out, start = [], 0
     for n in lengths.tolist():
