@@ -207,7 +207,7 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return F.broadcast(chosen).join(docs.select(F.col("doc_id").alias("id"), "text"), F.col("doc_id") == F.col("id")).select("id", "label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int = 2_048, least_g: float = 40.0, k: int = 25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int = 2_048, least_g: float = 25.0, k: int = 25) -> Model:
     """Learn from a bounded sample of labelled rows; count the kept terms over all ``docs``."""
     rows = cut(training(docs, labels, sample))
 
