@@ -263,13 +263,14 @@ def plan(histogram: dict[int, int], length: int = LENGTH, bins: int = 64, most_p
     return rows
 
 
-def pack(found: DataFrame, length: int = LENGTH, part_rows: int = 200_000) -> DataFrame:
+def pack(found: DataFrame, length: int = LENGTH, part_rows: int = 2_000) -> DataFrame:
     """``found`` (doc_id, piece, length and more; its rows are read twice) with sequence_id and offset."""
     total = found.groupBy("length").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in total.collect()}  # at most ``length`` rows
     rows = plan(counts, length)
-    salts = max(1, -(-max(counts.values(), default=0) // part_rows))
-    salted = found.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    # A length is ranked in parts of about ``part_rows`` pieces, dealt by hash; the table of parts has a row per length.
+    salts = found.sparkSession.createDataFrame([(n, -(-c // part_rows)) for n, c in counts.items()], "__n long, __salts long")
+    salted = found.join(F.broadcast(salts), F.col("length") == F.col("__n")).withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__salts"))).drop("__n", "__salts")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     parts = salted.groupBy("length", "__salt").agg(F.count("*").alias("n")).select(F.col("length").alias("__length"), F.col("__salt").alias("__part"), F.coalesce(before, F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "ids_crc32"))
