@@ -428,7 +428,8 @@ from batched b left join numbered x on x.doc_id = b.doc_id and x.place = b.first
 def translation_plan(spark, sf_dir):
     """The whole plan: chunks with ids, batches within the budget, what stands around each batch, and its mock translation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("chapter"), F.col("source").alias("chapter_title"), F.lit("paragraph").alias("kind"), F.col("text").alias("source"), F.lit(0).alias("place"))
-    segments = segment.segments(docs, ["doc_id"], ["place"], CHUNK)
+    # One exchange of whole documents serves every window and group below, which are all within a document.
+    segments = segment.segments(docs.repartition("doc_id"), ["doc_id"], ["place"], CHUNK)
     rows = context.neighbours(segments, ["doc_id"], "ordinal", "source", AROUND)
     items = rows.select("doc_id", "ordinal", "chapter_id", "source", F.length("source").alias("size"), "before", "after")
     packed = packing.pack(items, ["doc_id"], "ordinal", "size", BUDGET)
