@@ -8,7 +8,7 @@ more differences than allowed prune all their pairs at once. A bucket returns a
 all pairs. Buckets above ``bucket_rows`` are split into parts that meet pair by pair in tasks of their own.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; texts under the shingle length
-are one shingle; null ids keep their rows; rows that repeat an id share its class; an empty table gives an empty one.
+are one shingle; null ids keep their rows and link; rows that repeat an id share its class; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from quire.llm.graph import components
 
 FAN = 8
 HASH_SEED = 42
+#: Ids are below this number.
+NAMELESS = 1 << 62
 #: Shingles turned into bits at once, and node pairs compared at once: what bounds a task's memory.
 SLICE, FRONT = 1 << 15, 1 << 20
 
@@ -149,32 +151,33 @@ class GrayIndex:
 
 
 def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000, task_rows: int = 1_000_000) -> DataFrame:
-    """(u, v) for the distinct fingerprints ``fp``: edges whose components are those of all links of ``max_bits`` or fewer differing bits."""
+    """(u, v) for the distinct fingerprints ``fp``: edges whose components are those of all links of ``max_bits`` or fewer differing bits. Ends are named by the column ``node`` if there is one, else by fp."""
     spark = distinct.sparkSession
+    distinct = distinct.select("fp", F.col("node" if "node" in distinct.columns else "fp").alias("node"))
     blocks = max_bits + 1
     border = [round(64 * k / blocks) for k in range(blocks + 1)]
     keys = [(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * blocks + k) if b - a < 58 else F.col("fp") for k, (a, b) in enumerate(zip(border, border[1:]))]
-    dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    dealt = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
     count = dealt.groupBy("bucket").count()
     total = count.agg(F.sum("count")).first()[0] or 0
     hot = count.where(F.col("count") > bucket_rows).select("bucket", F.ceil(F.col("count") / bucket_rows).cast("int").alias("parts"))
-    dealt = dealt.select("fp", "bucket", F.lit(0).alias("side"), F.lit(0).alias("low"), F.lit(0).alias("high"))
+    dealt = dealt.select("fp", "node", "bucket", F.lit(0).alias("side"), F.lit(0).alias("low"), F.lit(0).alias("high"))
     if total > bucket_rows and (n_hot := hot.count()):
         if n_hot > 1_000_000:
             raise ValueError("bucket_rows is too small for this table")
         split = dealt.join(F.broadcast(hot), "bucket", "left")  # at most blocks * 2^ceil(64 / blocks) buckets, checked above
         split = split.withColumn("side", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        dealt = split.select("fp", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+        dealt = split.select("fp", "node", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = whole(batches)
         if rows is None:
             return
-        fp, bucket, side, low, high = (c.to_numpy() for c in rows.columns)
+        fp, node, bucket, side, low, high = (c.to_numpy() for c in rows.columns)
         codes = fp.view(np.uint64)
         order = np.lexsort((gray_rank(codes), side, high, low, bucket))
-        codes, bucket, side, low, high = codes[order], bucket[order], side[order], low[order], high[order]
+        codes, node, bucket, side, low, high = codes[order], node[order], bucket[order], side[order], low[order], high[order]
         task = np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))).cumsum()
         group = np.concatenate(([True], (task[1:] != task[:-1]) | (side[1:] != side[:-1]))).cumsum()
         index = GrayIndex(group, codes, max_bits)
@@ -183,7 +186,7 @@ def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000,
         within = low[at] == high[at]
         two = np.flatnonzero((task[at][1:] == task[at][:-1]) & ~within[1:])
         a, b = index.links(np.concatenate((top[within], two)), np.concatenate((top[within], two + 1)))
-        yield pa.RecordBatch.from_arrays([pa.array(codes[a].view(np.int64)), pa.array(codes[b].view(np.int64))], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
 
     task = partitions_for(spark, total, task_rows)
     return dealt.repartition(task, "bucket", "low", "high").mapInArrow(run, "u long, v long")
@@ -192,13 +195,13 @@ def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(id, fp, class_id) for each input row; class_id is the smallest id that links reach from the row's fingerprint."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least_id"))
-    root = components(links(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.where("root <> fp").groupBy("root").agg(F.min("least_id").alias("other_id"))
-    classes = rooted.join(least, "root", "left")
-    own = rooted.where("root = fp").select("root", F.col("least_id").alias("root_id"))
-    classes = classes.join(own, "root").select("fp", F.least("root_id", "other_id").alias("class_id"))
+    # A fingerprint is named by its smallest id, so the least name that links reach is the class; ones without any id get
+    # names above all ids.
+    name = F.coalesce("least_id", F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NAMELESS)))
+    distinct = marked.groupBy("fp").agg(F.min("id").alias("least_id")).select("fp", name.alias("node"))
+    root = components(links(distinct, max_bits)).select("node", "root")
+    classes = distinct.join(root, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
+    classes = classes.select("fp", F.when(F.col("class_id") < NAMELESS, F.col("class_id")).alias("class_id"))
     return marked.join(classes, "fp").select("id", "fp", "class_id")
 
 

@@ -85,3 +85,12 @@ def test_components_of_a_chain(spark):
     found = {r.node: r.root for r in graph.components(edges).collect()}
     assert set(found.values()) == {0} and len(found) == 201
     assert graph.components(edges.where("u > 900")).count() == 0
+
+
+def test_rows_without_id_link(spark):
+    """A fingerprint that only rows without id have still joins the two beside it."""
+    a, b, c = 0b0, 0b1111, 0b11111111
+    rows = spark.createDataFrame([(5, a), (3, c), (9, c), (None, b), (None, 1 << 40 | (1 << 50) - 1)], "least_id long, fp long")
+    name = simhash.F.coalesce("least_id", simhash.F.shiftrightunsigned("fp", 2).bitwiseOR(simhash.F.lit(simhash.NAMELESS)))
+    edges = simhash.links(rows.groupBy("fp").agg(simhash.F.min("least_id").alias("least_id")).withColumn("node", name))
+    assert {r.root for r in graph.components(edges).collect()} == {3}
