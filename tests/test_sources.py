@@ -53,10 +53,10 @@ def test_book_frames(spark, tmp_path):
 
 
 def test_generated_book_reads_back(spark):
-    rows = spark.createDataFrame([(1, "T", 0, "C0", 0, ["a < b"]), (1, "T", 0, "C0", 1, ["c", "src"]), (1, "T", 1, "C1", 0, ["d"])], "b int, book_title string, chapter int, chapter_title string, ordinal int, texts array<string>")
+    rows = spark.createDataFrame([(1, "T", 0, "C0", 0, ["a<b"]), (1, "T", 0, "C0", 1, ["c", "src"]), (1, "T", 1, "C1", 0, ["d"])], "b int, book_title string, chapter int, chapter_title string, ordinal int, texts array<string>")
     content = bytes(epub.generate(rows, "b").first().content)
     book = epub.parse(content)
-    assert book["title"] == "T" and [(c["title"], [b["source"] for b in c["blocks"]]) for c in book["chapters"]] == [("C0", ["C0", "a < b", "c", "src"]), ("C1", ["C1", "d"])]
+    assert book["title"] == "T" and [(c["title"], [b["source"] for b in c["blocks"]]) for c in book["chapters"]] == [("C0", ["C0", "a<b", "c", "src"]), ("C1", ["C1", "d"])]
 
 
 def test_dangling_links_are_refused():
