@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 
 def batches_of(lengths, budget: int) -> list[int]:
@@ -65,21 +66,45 @@ def pack(items: DataFrame, keys: list[str], order: str, length: str, budget: int
     return df.select(*keys, "__row.__items.*", F.col("__row.__batch").alias("batch"))
 
 
-def batches(packed: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
-    """One row per batch: first and last item, items and characters."""
-    return packed.groupBy(*keys, "batch").agg(F.min(order).alias("first_item"), F.max(order).alias("last_item"), F.count("*").alias("n_items"), F.sum(length).cast("long").alias("chars"))
+def ranges_of(lengths, budget: int) -> list[tuple[int, int]]:
+    """(first place, size) of each batch."""
+    numbers = batches_of(lengths, budget)
+    starts = [i for i, n in enumerate(numbers) if i == 0 or n != numbers[i - 1]]
+    return [(a, b - a) for a, b in zip(starts, [*starts[1:], len(numbers)])]
+
+
+def batch_rows(items: DataFrame, keys: list[str], order: str, length: str, budget: int) -> DataFrame:
+    """(keys, batch, items): one row per batch with its items (order and all other columns) as an array. Batches come out of their chapter's row, so nothing is exchanged behind the packing."""
+    others = [c for c in items.columns if c not in (*keys, order)]
+    kind = ArrayType(StructType([StructField("first", IntegerType()), StructField("size", IntegerType())]))
+
+    @F.pandas_udf(kind)
+    def run(own: pd.Series) -> pd.Series:
+        return own.map(lambda x: [{"first": a, "size": n} for a, n in ranges_of(x, budget)], na_action="ignore")
+
+    df = _gathered(items, keys, order, others)
+    df = df.withColumn("__ranges", run(F.transform("__items", lambda x: x[length].cast("int"))))
+    df = df.select(*keys, "__items", F.posexplode("__ranges").alias("batch", "__r"))
+    return df.select(*keys, "batch", F.slice("__items", F.col("__r.first") + 1, F.col("__r.size")).alias("items"))
+
+
+def batches(rows: DataFrame, keys: list[str], order: str, length: str) -> DataFrame:
+    """Batch rows to first and last item, items and characters."""
+    chars = F.aggregate("items", F.lit(0).cast("long"), lambda total, x: total + x[length])
+    return rows.select(*keys, "batch", F.col("items")[0][order].alias("first_item"), F.element_at("items", -1)[order].alias("last_item"), F.size("items").cast("long").alias("n_items"), chars.alias("chars"))
 
 
 def plan_open(items: DataFrame, keys: list[str], order: str, length: str, open_: Column, budget: int) -> DataFrame:
     """Translation plan: all items are packed, then those still open are kept; batches without any are left out."""
-    packed = pack(items.withColumn("__open", open_), keys, order, length, budget).where("__open").drop("__open")
-    return batches(packed, keys, order, length)
+    rows = batch_rows(items.withColumn("__open", F.coalesce(open_, F.lit(False))), keys, order, length, budget)
+    kept = rows.withColumn("items", F.filter("items", lambda x: x["__open"])).where(F.size("items") > 0)
+    return batches(kept, keys, order, length)
 
 
 def plan_eligible(items: DataFrame, book: list[str], chapter: str, order: str, length: str, eligible: Column, budget: int, prefix: str) -> DataFrame:
     """Polish plan: only eligible items are packed, never across chapters; batches are numbered through the book."""
-    packed = pack(items.where(eligible), [*book, chapter], order, length, budget)
-    found = batches(packed, [*book, chapter], order, length)
+    keys = [*book, chapter]
+    found = batches(batch_rows(items.where(eligible), keys, order, length, budget), keys, order, length)
     rank = F.row_number().over(Window.partitionBy(*book).orderBy(chapter, "batch")) - 1
     return found.withColumn("id", F.concat(F.lit(prefix + "-b"), F.lpad(rank.cast("string"), F.greatest(F.lit(3), F.length(rank.cast("string"))), F.lit("0"))))
 

@@ -93,7 +93,7 @@ PACKED_LINES = _packing_sql(
 @query(PACKED_LINES)
 def pack_batches(spark, sf_dir):
     items = _lines(spark, sf_dir).select("doc_id", "pos", F.length("line").alias("size"))
-    return packing.batches(packing.pack(items, ["doc_id"], "pos", "size", BUDGET), ["doc_id"], "pos", "size")
+    return packing.batches(packing.batch_rows(items, ["doc_id"], "pos", "size", BUDGET), ["doc_id"], "pos", "size")
 
 
 @query(
@@ -432,16 +432,20 @@ def translation_plan(spark, sf_dir):
     segments = segment.segments(docs.repartition("doc_id"), ["doc_id"], ["place"], CHUNK)
     rows = context.neighbours(segments, ["doc_id"], "ordinal", "source", AROUND)
     items = rows.select("doc_id", "ordinal", "chapter_id", "source", F.length("source").alias("size"), "before", "after")
-    packed = packing.pack(items, ["doc_id"], "ordinal", "size", BUDGET)
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "source"))), lambda x: mock_translation(x["source"]))
-    return packed.groupBy("doc_id", "chapter_id", "batch").agg(
-        F.min("ordinal").alias("first_item"),
-        F.max("ordinal").alias("last_item"),
-        F.count("*").alias("n_items"),
-        F.sum("size").cast("long").alias("chars"),
-        F.sha2(F.array_join(lines, "\n"), 256).alias("translated"),
-        F.min_by("before", "ordinal").alias("before"),
-        F.max_by("after", "ordinal").alias("after"),
+    rows = packing.batch_rows(items, ["doc_id"], "ordinal", "size", BUDGET)
+    own = F.col("items")
+    lines = F.transform(own, lambda x: mock_translation(x["source"]))
+    return packing.batches(rows.withColumn("__lines", lines), ["doc_id", "items", "__lines"], "ordinal", "size").select(
+        "doc_id",
+        own[0]["chapter_id"].alias("chapter_id"),
+        "batch",
+        "first_item",
+        "last_item",
+        "n_items",
+        "chars",
+        F.sha2(F.array_join("__lines", "\n"), 256).alias("translated"),
+        own[0]["before"].alias("before"),
+        F.element_at(own, -1)["after"].alias("after"),
     )
 
 
