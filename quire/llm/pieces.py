@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, map_arrow, raw, table
+from quire.llm.common import cut, map_arrow, partitions_for, raw, table
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CHUNK, GROUP, CACHED = 16_384, 256, 500_000
+CUTS = re.compile(f"(?<=[^{MARK}]){MARK}")
+CHUNK, GROUP, CACHED = 16_384, 256, 150_000
 NONE = float("-inf")
 
 
@@ -59,6 +60,11 @@ class Vocabulary:
         self.cache: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
+    @property
+    def reach(self) -> int:
+        """How many characters of its surroundings a chunk is given on either side: more than a piece, enough for most words."""
+        return 4 * self.longest
+
     def best(self, text: str) -> list[str]:
         """Pieces (or single unknown characters) of a marked text that is encoded alone."""
         return self._merged(text) if self.kind == "bpe" else self._viterbi(text)
@@ -171,20 +177,30 @@ State = tuple[int, str]  # characters by which a piece passes the border, and th
 Matrix = dict[State, dict[State, float]]
 
 
-def entries(v: Vocabulary, left: str, text: str) -> list[State]:
-    """The pieces that may lie across or end at the border between ``left`` and ``text``; one state where a word starts."""
-    if text[:1] == MARK and left[-1:] != MARK:
+def border(v: Vocabulary, before: str, after: str) -> list[State]:
+    """The pieces that may lie across or end at the border between two neighbouring stretches of ``v.reach`` characters (fewer at the text's ends). One state where a word starts, and where the word around the border is seen whole; its encoding does not depend on others."""
+    if after[:1] == MARK and before[-1:] != MARK:
         return [(0, "")]
-    around, at = left[-v.longest :] + text[: v.longest], len(left[-v.longest :])
-    out = {(p + len(s) - at, s) for p in range(at) for s in v.at(around, p) if p + len(s) >= at}
+    around, at = before + after, len(before)
+    cuts = [m.start() for m in CUTS.finditer(around)]
+    start = max((c for c in cuts if c < at), default=None)
+    end = min((c for c in cuts if c > at), default=len(around) if len(after) < v.reach else None)
+    if start is not None and end is not None:
+        p = start
+        for s in v.best(around[start:end]):
+            p += len(s)
+            if p >= at:
+                return [(p - at, s if v.kind == "bpe" else "")]
+    near = max(0, at - v.longest)
+    out = {(p + len(s) - at, s) for p in range(near, at) for s in v.at(around[: at + v.longest], p) if p + len(s) >= at}
     return sorted(out) if v.kind == "bpe" else sorted({(d, "") for d, _ in out})
 
 
 def transfer(v: Vocabulary, left: str, text: str, right: str) -> Matrix:
     """Best weights from each entering to each leaving state of a chunk; ``left`` and ``right`` are its surroundings."""
     n, around = len(text), text + right[: v.longest]
-    first = left == ""
-    sources: list[State] = [(0, "")] if first else entries(v, left, text)
+    sources: list[State] = border(v, left[-v.reach :], (text + right)[: v.reach]) if left else [(0, "")]
+    exits = set(border(v, (left + text)[-v.reach :], right[: v.reach])) if right else None
     starts = [m.start() for m in re.finditer(f"(?<!{MARK}){MARK}", (left[-1:] or "x") + text)]
     starts = [s - 1 for s in starts if s >= 1]
     last_start = starts[-1] if starts else None
@@ -230,7 +246,7 @@ def transfer(v: Vocabulary, left: str, text: str, right: str) -> Matrix:
             else:
                 put(leaving, (end - n, "" if exits_cut else key), best)
         p += 1
-    return {src: {dst: float(w[k]) for dst, w in leaving.items() if w[k] > NONE} for k, src in enumerate(sources)}
+    return {src: {dst: float(w[k]) for dst, w in leaving.items() if w[k] > NONE and (exits is None or dst in exits)} for k, src in enumerate(sources)}
 
 
 def compose(a: Matrix, b: Matrix) -> Matrix:
@@ -302,7 +318,7 @@ def chunks(texts: DataFrame, path: str, kind: str, chunk: int) -> DataFrame:
     """(h, k, left, text, right) of texts (h, text): marked chunks with as much of their surroundings as a piece may reach."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        reach = vocabulary(path, kind).longest + 1
+        reach = vocabulary(path, kind).reach
         out: list[list] = [[], [], [], [], []]
         for h, t in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
             whole = marked(t.decode("utf-8", "replace"))
@@ -324,6 +340,10 @@ def borders(split: DataFrame, path: str, kind: str) -> DataFrame:
 
     each = cut(map_arrow(split.select("h", "k", "left", "text", "right"), matrices, f"h string, k long, cells {CELL}").withColumn("g", F.floor(F.col("k") / GROUP)))
 
+    # Matrices are small but work to combine: their tasks are dealt by number, or they would be merged by size into one.
+    tasks = partitions_for(each.sparkSession, 0, 1)
+    each = each.repartition(tasks, "h", "g")
+
     def product(own: pa.Table) -> pa.Table:
         own = own.sort_by("k")
         total = None
@@ -381,7 +401,7 @@ def _encoded(docs: DataFrame, path: str, kind: str, chunk: int, with_ids: bool)
 
     short = map_arrow(docs.where(~long), whole_texts, f"doc_id long, k long, {PART}")
     giant = docs.where(long).select("doc_id", "text", F.sha2("text", 256).alias("h"))
-    split = cut(chunks(giant.select("h", "text").dropDuplicates(["h"]), path, kind, chunk).repartition("h", "k"))
+    split = cut(chunks(giant.select("h", "text"), path, kind, chunk).dropDuplicates(["h", "k"]))
     joined = split.join(borders(split, path, kind), ["h", "k"]).select("h", "k", "text", "right", "in_d", "out_d")
     return short, giant.select("doc_id", "h"), map_arrow(joined, traced, f"h string, k long, {PART}")
 

@@ -21,7 +21,7 @@ def texts(n, seed=4):
 
 
 def chunked_ids(v, text, chunk):
-    m, reach = pieces.marked(text), v.longest + 1
+    m, reach = pieces.marked(text), v.reach
     own = [(m[max(0, a - reach) : a], m[a : a + chunk], m[a + chunk : a + chunk + reach]) for a in range(0, len(m), chunk)]
     if not own:
         return [], []
@@ -50,7 +50,7 @@ class Unigram(pieces.Vocabulary):
     """A unigram model made by hand."""
 
     def __init__(self):
-        self.kind, self.longest = "unigram", 4
+        self.kind, self.longest, self.pairs = "unigram", 4, {}
         self.score = {"▁": -2.0, "a": -1.5, "b": -1.5, "ab": -2.2, "ba": -2.5, "aba": -3.1, "▁ab": -2.8, "abab": -4.6, "bb": -2.0}
         self.unknown = -20.0
 
@@ -60,7 +60,7 @@ def test_unigram_scan_is_optimal():
     for _ in range(200):
         m = "▁" + "".join(rng.choice("aab▁b?") for _ in range(rng.randint(1, 40)))
         best = sum(v.weight(p) for p in v.best(m))
-        chunk, reach = rng.randint(5, 12), v.longest + 1
+        chunk, reach = rng.randint(5, 12), v.reach
         own = [(m[max(0, a - reach) : a], m[a : a + chunk], m[a + chunk : a + chunk + reach]) for a in range(0, len(m), chunk)]
         matrices = [pieces.transfer(v, *c) for c in own]
         total = matrices[0]
