@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -27,17 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
-    """One output batch for each input batch; ``rows`` holds no state between batches except its own bounded caches."""
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, at_once: int = 1_000) -> DataFrame:
+    """One output batch for each ``at_once`` rows of an input batch, which bounds what a worker holds beside the batch itself; ``rows`` keeps no state between calls except its own bounded caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield rows(batch)
+            for a in range(0, batch.num_rows, at_once):
+                yield rows(batch.slice(a, at_once))
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the system: workers are used again, and allocators keep what they had at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of one task as a table; None for an empty task. Only for tasks whose row count is bounded by the caller."""
     kept = [b for b in batches if b.num_rows]
@@ -46,7 +56,7 @@ def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
 
 def raw(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
-    return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+    return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
 def crc32_of(col: str):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import cut, map_arrow, raw, table
 
 LENGTH, END = 4096, 1
-CACHED = 500_000
+CACHED = 120_000
 #: Where words of a text can influence each other: strings of special tokens, and controls that str.split() takes for white space.
 ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 #: Marks that the tokenizer takes off the end of a word of letters, all at once.

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, map_arrow, partitions_for, raw, table, whole
+from quire.llm.common import cut, map_arrow, partitions_for, raw, released, table, whole
 from quire.llm.graph import components
 
 FAN = 8
@@ -28,7 +28,7 @@ HASH_SEED = 42
 #: Ids are below this number.
 NAMELESS = 1 << 62
 #: Shingles turned into bits at once, and node pairs compared at once: what bounds a task's memory.
-SLICE, FRONT = 1 << 15, 1 << 20
+SLICE, FRONT = 1 << 14, 1 << 18
 
 
 def simhash(text: bytes | None, shingle: int = 4) -> int:
@@ -187,6 +187,8 @@ def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000,
         two = np.flatnonzero((task[at][1:] == task[at][:-1]) & ~within[1:])
         a, b = index.links(np.concatenate((top[within], two)), np.concatenate((top[within], two + 1)))
         yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["u", "v"])
+        del rows, index, order, codes, node, bucket, side, low, high, task, group
+        released()
 
     task = partitions_for(spark, total, task_rows)
     return dealt.repartition(task, "bucket", "low", "high").mapInArrow(run, "u long, v long")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import crc32_of, cut, map_arrow, raw, table
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAM, BLOCK, CACHED = 4, 64, 400_000
+GRAM, BLOCK, CACHED = 4, 64, 100_000
 
 
 def features(word: str) -> list[str]:
@@ -60,6 +61,12 @@ class Counts:
         return found
 
 
+@lru_cache(1)
+def counter(terms: tuple[str, ...]) -> Counts:
+    """The counts over a vocabulary, one per worker, so that later passes find the tokens of earlier ones."""
+    return Counts({t: i for i, t in enumerate(terms)})
+
+
 class BlockMax:
     """Inverted lists of example vectors, cut into blocks of examples that keep each term's largest weight.
 
@@ -140,7 +147,7 @@ class Model:
     """What scoring needs: vocabulary, idf, index, calibration and the rate among examples without terms."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: Iterable[tuple[int, int, list[int], list[int]]], k: int):
-        self.vocabulary, self.idf = {t: i for i, t in enumerate(vocabulary)}, idf
+        self.vocabulary, self.idf = tuple(vocabulary), idf
         entries: dict[bytes, list] = {}
         bare, total, found = [0, 0], [0, 0], []
         for doc_id, label, ids, tf in examples:
@@ -233,23 +240,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int
         g = 2 * sum((part(o, e) for o, e in cells), F.lit(0.0))
         best = seen.withColumn("g", g).where(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(most_terms)
         vocabulary = [r.term for r in best.select("term").collect()]
-    place = {t: i for i, t in enumerate(vocabulary)}
+    terms = tuple(vocabulary)
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts, found = Counts(place), np.zeros(len(place) + 1, np.int64)
+        counts, found = counter(terms), np.zeros(len(terms) + 1, np.int64)
         for text in raw(batch.column(0)):
             found[list(counts(text))] += 1
         found[-1] = batch.num_rows
         at = np.flatnonzero(found)
         return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], ["term", "n"])
 
-    frequency = np.zeros(len(place) + 1)
+    frequency = np.zeros(len(terms) + 1)
     for r in map_arrow(docs.select("text"), present, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         frequency[r.term] = r.n
     idf = np.log((frequency[-1] + 1) / (frequency[:-1] + 1)) + 1
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = Counts(place)
+        counts = counter(terms)
         found = [counts(t) for t in raw(batch.column(2))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["id", "label", "terms", "tf"])
 
@@ -260,11 +267,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, evidence): the calibrated score of each row and ids of up to three nearest examples."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict[int, Counts] = {}
-
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        counts = state.setdefault(0, Counts(model.vocabulary))
+        counts = counter(model.vocabulary)
         found = [model.score(counts(t)) for t in raw(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
@@ -283,11 +288,9 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose text scores under the threshold, with their own columns. The score depends on the text alone and is computed in the same pass."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    state: dict[int, Counts] = {}
-
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         model = shared.value
-        counts = state.setdefault(0, Counts(model.vocabulary))
+        counts = counter(model.vocabulary)
         clean = [model.score(counts(t))[0] < THRESHOLD for t in raw(batch.column(batch.schema.get_field_index("text")))]
         return batch.filter(pa.array(clean, pa.bool_()))
 
