@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import crc32_of, cut, map_arrow, raw, table
 
 WORD = re.compile(r"[^\W\d_]+")
-GRAM, BLOCK, CACHED = 4, 64, 100_000
+GRAM, BLOCK, CACHED = 4, 64, 300_000
 
 
 def features(word: str) -> list[str]:
