@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, quality rules, SimHash near-duplicates, best-fit packing.
+"""The corpus pipeline: toxicity, quality rules, near copies by five-word shingles, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from quire.llm import packing, quality, simhash, toxicity
+from quire.llm import copies, packing, quality, toxicity
 from quire.llm.common import table
 
 
@@ -24,8 +24,8 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_first_copies(spark, docs, sf_dir):
-    """Of each class of near-duplicates, the document with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each class of texts that a Jaccard similarity of 0.8 of their five-word shingles links, the document with the smallest id."""
+    return copies.drop_near_duplicates(docs, shingle=5, least=0.8)
 
 
 def pack_sequences(spark, docs, sf_dir):
@@ -35,7 +35,7 @@ def pack_sequences(spark, docs, sf_dir):
 
 STAGES = [("toxicity", keep_civil), ("quality", keep_good), ("near_duplicates", keep_first_copies), ("packing", pack_sequences)]
 
-#: Neither XXH64 votes, tokenizer ids nor nearest labelled examples can be stated in SQL; tests hold each stage against a brute-force version.
+#: Neither similarities of shingles, tokenizer ids nor nearest labelled examples can be stated in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

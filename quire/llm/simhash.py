@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import cut, map_arrow, partitions_for, raw, released, table, whole
+from quire.llm.copies import drop_near_duplicates  # noqa: F401 - the pipeline's stage
 from quire.llm.graph import components
 
 FAN = 8
@@ -210,10 +211,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose class holds a smaller id; rows that repeat the kept id stay, and so do rows without id."""
-    found = near_duplicates(docs, id_col, text_col)
-    lost = found.where("id <> class_id").select(F.col("id").alias("__quire_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("__quire_lost"), "left_anti")
