@@ -74,3 +74,11 @@ def test_odd_rows(spark):
     assert got.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == [(False, i) for i in (0, 3, 4, 5, 6, 7, 8, 9, 90)] + [(True, 0)]
     assert copies.drop_near_duplicates(no_documents(spark)).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    """A unique text stays though its id is that of a copy; a class keeps one row where ids repeat or are null."""
+    one, two, three, four = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, one), (2, one), (2, two), (5, three), (5, three), (None, three), (None, four), (None, four)]
+    got = [(r.doc_id, r.text) for r in copies.drop_near_duplicates(frame(spark, rows)).collect()]
+    assert len(got) == 4 and set(got) == {(1, one), (2, two), (5, three), (None, four)}
