@@ -20,7 +20,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import crc32_of, map_arrow, raw, table
@@ -185,7 +185,9 @@ def fit(docs: DataFrame, per_lang: int = 1_500, most_grams: int = 20_000) -> Mod
     total = map_arrow(sample, counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
     scripts: dict[str, dict[str, int]] = {x: {} for x in langs}
-    for r in total.orderBy(F.desc("n"), "lang", "gram").limit(most_grams * max(1, len(langs))).collect():
+    is_script = F.col("gram").startswith("script:")
+    own = Window.partitionBy("lang", is_script).orderBy(F.desc("n"), "gram")
+    for r in total.withColumn("place", F.row_number().over(own)).where(is_script | (F.col("place") <= most_grams)).collect():
         (scripts if r.gram.startswith("script:") else counts)[r.lang][r.gram.removeprefix("script:")] = r.n
     return Model(langs, counts, scripts)
 

@@ -49,3 +49,12 @@ def test_odd_rows(spark):
     assert language.identified(no_documents(spark), model).count() == 0
     tiny = language.identified(docs, model, at_once=10)
     assert {(r.doc_id, r.lang_pred, r.score) for r in tiny.collect()} == found
+
+
+def test_each_language_keeps_its_own_grams(spark):
+    """A language with few and short rows keeps as many n-grams as one with many."""
+    rows = [(i, "the river and the house with thing and other words that they think " * 20, "en") for i in range(200)]
+    rows += [(i, "река и дом где люди", "ru") for i in range(300, 340)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=40)
+    assert {x: len(model.counts[x]) for x in ("en", "ru")} == {"en": 40, "ru": 40}
+    assert model.open["cyrillic"].tolist() == [False, True]
