@@ -17,17 +17,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage, in the folder that all executors share (``spark.checkpoint.dir``).
-
-    The folder is read from the session. Only where none is set, as in tests on one machine, a local one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Materialise ``df`` and drop its lineage, in the folder that all executors share (``spark.checkpoint.dir``)."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one on a single machine, and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="quire-")
+
+
+#: Narrow rows that may be broadcast.
+FEW = 200_000
+
+
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """A checkpointed table, marked for broadcast if it is counted to have at most ``most`` (narrow) rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", least: int = 1_000) -> DataFrame:
+    """``big`` joined with ``small`` on one column, with no key in a single task.
+
+    A key that over a two-hundredth of the rows of ``big`` share (and over ``least`` rows) is cut into parts of that
+    size: rows of ``big`` go to a part by hash, rows of ``small`` to all parts. So there are at most 200 such keys and 400
+    parts of them, whatever the input. ``big`` is read twice. ``how`` is inner, left or left_semi.
+    """
+    most = max(least, -(-big.count() // 200))
+    counts = big.groupBy(on).agg(F.count("*").alias("__n"))
+    parts = cut(counts.where((F.col("__n") > most) & F.col(on).isNotNull()).select(F.col(on).alias("__hot"), F.ceil(F.col("__n") / most).cast("int").alias("__parts")))
+    if parts.isEmpty():
+        return big.join(small, on, how)
+    hot = F.broadcast(parts)  # at most 200 rows
+    left = big.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.col("__parts")).cast("int")).otherwise(F.lit(0)))
+    right = small.join(hot, F.col(on) == F.col("__hot"), "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+    return left.drop("__hot", "__parts").join(right.drop("__hot", "__parts"), [on, "__part"], how).drop("__part")
+
+
 def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, at_once: int = 1_000) -> DataFrame:
     """One output batch for each ``at_once`` rows of an input batch, which bounds what a worker holds beside the batch itself; ``rows`` keeps no state between calls except its own bounded caches."""
 

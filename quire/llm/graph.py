@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, salted_join
 
+FEW = 400_000
 
-def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v) with m, the least of u and its listed neighbours. The minimum is combined before the shuffle, so a hub costs one row per task."""
+
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """(u, v) with m, the least of u and its listed neighbours. The minimum is combined before the shuffle; the join with it is a broadcast while there are at most FEW edges, and cuts the edges of a hub into parts beyond."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least, "u")
+    return edges.join(F.broadcast(least), "u") if n <= FEW else salted_join(edges, least, "u")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    found = _with_least(down)
+    found = _with_least(down if n <= FEW else cut(down), n)
     moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -39,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if seen[0] == 0 or seen == state:
             break
         state = seen
-        now = cut(_small_star(_large_star(now)))
+        now = cut(_small_star(_large_star(now, seen[0]), 2 * seen[0]))
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -1,27 +1,29 @@
 """SimHash near-duplicates: fingerprints, a Gray-order hierarchical index over them, and classes of linked documents.
 
 Only distinct fingerprints enter the search, so any number of exact copies costs one entry. Two fingerprints within
-``max_bits`` differences agree on at least one of ``max_bits + 1`` bit blocks; each fingerprint therefore goes to one
-bucket per block, and every link is found in some bucket. Inside a bucket, fingerprints are sorted by Gray rank and
+``max_bits`` differences agree on all but ``max_bits`` of any set of bit blocks; each fingerprint therefore goes to one
+bucket per choice of the other blocks, and every link is found in some bucket. Five blocks serve up to about 16 million
+fingerprints, more blocks keep the buckets small beyond. Inside a bucket, fingerprints are sorted by Gray rank and
 runs of them are folded into nodes that keep the bits all members share. Two nodes are compared on the bits both share:
 more differences than allowed prune all their pairs at once. A bucket returns a spanning forest of its links, never
 all pairs. Buckets above ``bucket_rows`` are split into parts that meet pair by pair in tasks of their own.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; texts under the shingle length
-are one shingle; null ids keep their rows and link; rows that repeat an id share its class; an empty table gives an empty one.
+are one shingle; null ids keep their rows and link; rows that repeat an id
+are documents of their own, each with the class of its own text; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, map_arrow, partitions_for, raw, released, table, whole
-from quire.llm.copies import drop_near_duplicates  # noqa: F401 - the pipeline's stage
+from quire.llm.common import cut, map_arrow, partitions_for, raw, released, salted_join, table, whole
 from quire.llm.graph import components
 
 FAN = 8
@@ -32,6 +34,14 @@ NAMELESS = 1 << 62
 SLICE, FRONT = 1 << 14, 1 << 18
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have; zero without any."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), SLICE):
+        votes += np.unpackbits(hashes[k : k + SLICE].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
+
+
 def simhash(text: bytes | None, shingle: int = 4) -> int:
     """The 64-bit fingerprint of a UTF-8 text: A-Z lower-cased, words split at ASCII white space, XXH64 of each shingle."""
     import xxhash
@@ -151,13 +161,27 @@ class GrayIndex:
         return _forest(len(self.codes), np.concatenate(a_all), np.concatenate(b_all))
 
 
-def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000, task_rows: int = 1_000_000) -> DataFrame:
-    """(u, v) for the distinct fingerprints ``fp``: edges whose components are those of all links of ``max_bits`` or fewer differing bits. Ends are named by the column ``node`` if there is one, else by fp."""
+def masks(max_bits: int, blocks: int) -> list[int]:
+    """Bit masks of which two fingerprints agree on at least one if at most ``max_bits`` bits differ: all choices of blocks - max_bits of the blocks."""
+    border = [round(64 * k / blocks) for k in range(blocks + 1)]
+    own = [((1 << b) - (1 << a)) for a, b in zip(border, border[1:])]
+    return [sum(c) for c in combinations(own, blocks - max_bits)]
+
+
+def blocks_for(n: int, max_bits: int, aim: int = 2_000) -> int:
+    """The fewest blocks with which n spread-out fingerprints make buckets of about ``aim`` or fewer, so that the work of a fingerprint does not grow with n: more blocks make more and smaller buckets."""
+    blocks = max_bits + 1
+    while blocks < max_bits + 5 and n / 2 ** (64 * (blocks - max_bits) / blocks) > aim:
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000, task_rows: int = 1_000_000, blocks: int | None = None) -> DataFrame:
+    """(u, v) for the distinct fingerprints ``fp``: edges whose components are those of all links of ``max_bits`` or fewer differing bits. Ends are named by the column ``node`` if there is one, else by fp. ``blocks`` is chosen by the number of rows unless given."""
     spark = distinct.sparkSession
     distinct = distinct.select("fp", F.col("node" if "node" in distinct.columns else "fp").alias("node"))
-    blocks = max_bits + 1
-    border = [round(64 * k / blocks) for k in range(blocks + 1)]
-    keys = [(F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) * blocks + k) if b - a < 58 else F.col("fp") for k, (a, b) in enumerate(zip(border, border[1:]))]
+    own = masks(max_bits, blocks or blocks_for(distinct.count(), max_bits))
+    keys = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)), F.lit(k)) for k, m in enumerate(own)]
     dealt = distinct.select("fp", "node", F.explode(F.array(*keys)).alias("bucket"))
     count = dealt.groupBy("bucket").count()
     total = count.agg(F.sum("count")).first()[0] or 0
@@ -166,7 +190,7 @@ def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000,
     if total > bucket_rows and (n_hot := hot.count()):
         if n_hot > 1_000_000:
             raise ValueError("bucket_rows is too small for this table")
-        split = dealt.join(F.broadcast(hot), "bucket", "left")  # at most blocks * 2^ceil(64 / blocks) buckets, checked above
+        split = dealt.join(F.broadcast(hot), "bucket", "left")  # counted above
         split = split.withColumn("side", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
         dealt = split.select("fp", "node", "bucket", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
@@ -198,16 +222,18 @@ def links(distinct: DataFrame, max_bits: int = 4, bucket_rows: int = 2_000_000,
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(id, fp, class_id) for each input row; class_id is the smallest id that links reach from the row's fingerprint."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    # Copies of one text share a fingerprint that a third of all rows may have: its rows meet their class in many tasks.
     # A fingerprint is named by its smallest id, so the least name that links reach is the class; ones without any id get
     # names above all ids.
     name = F.coalesce("least_id", F.shiftrightunsigned("fp", 2).bitwiseOR(F.lit(NAMELESS)))
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least_id")).select("fp", name.alias("node"))
+    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("least_id")).select("fp", name.alias("node")))
     root = components(links(distinct, max_bits)).select("node", "root")
     classes = distinct.join(root, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
     classes = classes.select("fp", F.when(F.col("class_id") < NAMELESS, F.col("class_id")).alias("class_id"))
-    return marked.join(classes, "fp").select("id", "fp", "class_id")
+    return salted_join(marked, classes, "fp").select("id", "fp", "class_id")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and class of each row of ``documents``; ids that are null or repeat and empty tables as in the module's docstring."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))

@@ -43,10 +43,11 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("rounds", [0, 3])
-def test_near_copies_of_random_texts(spark, rounds, monkeypatch):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_near_copies_of_random_texts(spark, broadcast, monkeypatch):
     """Copies, copies of copies and texts just under the limit, also where the fingerprints are more than 4 bits apart."""
-    monkeypatch.setattr(copies.classes, "__defaults__", (rounds,))
+    if not broadcast:
+        monkeypatch.setattr(copies, "FEW", 0)
     rng, rows = np.random.default_rng(3), []
     for k in range(40):
         words = [f"w{x}" for x in rng.integers(0, 3000, 60 + 10 * k)]
@@ -61,6 +62,28 @@ def test_near_copies_of_random_texts(spark, rounds, monkeypatch):
     assert any(min((prints[i] ^ prints[j]).bit_count() for j in range(i)) > 4 for i in lost if i)
 
 
+def test_shared_passages(spark):
+    """Texts that share long passages fill buckets without being copies; the copies among them are still found."""
+    rng, rows = np.random.default_rng(8), []
+    passages = [" ".join(f"p{x}" for x in rng.integers(0, 10**6, 50)) for _ in range(3)]
+    for k in range(240):
+        own = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(8, 30)))]
+        rows.append((len(rows), passages[k % 3] + " " + " ".join(own)))
+        if k % 6 == 0:
+            rows.append((len(rows), passages[k % 3] + " " + " ".join(changed(rng, own, 0.1))))
+    assert {r.doc_id for r in copies.drop_near_duplicates(frame(spark, rows)).collect()} == brute_kept(rows)
+
+
+def test_prefixes_meet(spark):
+    """Two sets at the limit share one of their rarest shingles; shingles of one node alone are left out."""
+    own = [list(range(0, 100)), list(range(11, 111)), list(range(0, 100, 2))]
+    rows = spark.createDataFrame([(i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in enumerate(own)], "node long, shingles binary")
+    found = {}
+    for r in copies.prefixes(rows, 0.8).collect():
+        found.setdefault(r.node, {})[r.key] = r.place
+    assert set(found[0]) & set(found[1]) and 110 not in found[1] and max(found[0].values()) <= 21
+
+
 def test_stage_equals_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = corpus_pipeline.keep_first_copies(spark, docs, sf_dir)

@@ -1,7 +1,7 @@
 import public_tokenizers  # noqa: F401 - the packing stage needs it
+from test_copies import brute_kept
 from test_packing import check_rows
 from test_quality import brute
-from test_simhash import brute_classes, brute_print
 
 import corpus_pipeline
 
@@ -21,9 +21,7 @@ def test_stages(spark, sf_dir):
     for r in rows["quality"]:
         words, _, _, _, repeats = brute(r.text)
         assert words >= 50 and 100 * repeats <= 50 * words
-    before = sorted(rows["quality"], key=lambda r: r.doc_id)
-    roots = brute_classes([brute_print(r.text) for r in before], 4)
-    assert ids["near_duplicates"] == {before[k].doc_id for k in roots}
+    assert ids["near_duplicates"] == brute_kept([(r.doc_id, r.text) for r in rows["quality"]])
     check_rows(rows["packing"], {r.doc_id: r.text for r in rows["near_duplicates"]}, 4096)
 
 

@@ -6,6 +6,7 @@ import xxhash
 from edge import no_documents, odd_documents
 
 from quire.llm import graph, simhash
+from quire.llm.common import salted_join
 
 
 def brute_print(text, n=4):
@@ -43,16 +44,28 @@ def test_gray_rank_walks_one_bit():
     assert all(int(a ^ b).bit_count() == 1 for a, b in zip(order, order[1:]))
 
 
-@pytest.mark.parametrize("bucket_rows", [2_000_000, 30])
+def test_masks():
+    """Any four flipped bits leave one mask untouched."""
+    rng = np.random.default_rng(2)
+    for blocks, n in ((5, 5), (6, 15), (8, 70)):
+        own = simhash.masks(4, blocks)
+        assert len(own) == n
+        for _ in range(300):
+            flips = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+            assert any(not m & flips for m in own)
+    assert [simhash.blocks_for(n, 4) for n in (10**5, 10**7, 10**9, 10**12)] == [5, 5, 6, 8]
+
+
+@pytest.mark.parametrize("bucket_rows,blocks", [(2_000_000, None), (30, None), (2_000_000, 7)])
 @pytest.mark.parametrize("most", [1, 4])
-def test_links(spark, bucket_rows, most):
+def test_links(spark, bucket_rows, blocks, most):
     rng = np.random.default_rng(most)
     base = rng.integers(0, 1 << 62, 150).astype(np.uint64)
     flips = [base ^ (np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) for _ in range(3)]
     ball = base[:1] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64)) ^ np.uint64(5)
     codes = np.unique(np.concatenate([base, *flips, flips[0] ^ np.uint64(3), ball, np.array([0, 1, 2**64 - 1], np.uint64)]))
     rows = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
-    root = {r.node: r.root for r in graph.components(simhash.links(rows, most, bucket_rows)).collect()}
+    root = {r.node: r.root for r in graph.components(simhash.links(rows, most, bucket_rows, blocks=blocks)).collect()}
     want = brute_classes([int(c) for c in codes], most)
     got = [root.get(int(c), int(c)) for c in codes.view(np.int64)]
     groups = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == y) for y in set(labels))
@@ -75,11 +88,15 @@ def test_odd_rows(spark):
     assert len(found) == docs.count()
     zero = {r.class_id for r in found if r.fp == 0}
     assert zero == {0}
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {None, 0, 3}
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
 
 
+def test_repeated_ids(spark):
+    """Rows that repeat an id are documents of their own."""
+    rows = spark.createDataFrame([(3, "a b c d"), (5, "a b c d"), (5, "q r s t u"), (None, "q r s t u")], "doc_id long, text string")
+    assert sorted((r.id or 0, r.class_id) for r in simhash.near_duplicates(rows).collect()) == [(0, 5), (3, 3), (5, 3), (5, 5)]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (None, 1), (7, 8)], "u long, v long")
     found = {r.node: r.root for r in graph.components(edges).collect()}
@@ -87,6 +104,22 @@ def test_components_of_a_chain(spark):
     assert graph.components(edges.where("u > 900")).count() == 0
 
 
+def test_components_without_broadcast(spark, monkeypatch):
+    """Hubs are cut into parts where there are too many edges to broadcast."""
+    monkeypatch.setattr(graph, "FEW", 10)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 50)] + [(9000, 9001)], "u long, v long")
+    found = {r.node: r.root for r in graph.components(edges).collect()}
+    assert len(found) == 3051 and {r for n, r in found.items() if n < 9000} == {0} and found[9001] == found[9000] == 9000
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_salted_join(spark, how):
+    """A key of most rows, null keys and keys without a partner: the same rows as a plain join."""
+    big = spark.createDataFrame([(i, 7 if i % 4 else i % 50) for i in range(6000)] + [(6000, None)], "i int, k int")
+    small = spark.createDataFrame([(7, "x"), (8, "y"), (9, "z"), (None, "n")], "k int, s string")
+    want, got = big.join(small, "k", how), salted_join(big, small, "k", how)
+    assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
 def test_rows_without_id_link(spark):
     """A fingerprint that only rows without id have still joins the two beside it."""
     a, b, c = 0b0, 0b1111, 0b11111111
