@@ -5,8 +5,8 @@ last turn of both sides unless the conversations are the same. Each completion i
 turns that count for the loss (those of ``learn_role``); everything else is masked.
 
 Defined cases: a null conversation is an empty one; null roles and texts count as empty strings and equal each other;
-turns with equal numbers are ordered by role and text; equal conversations have empty completions; an empty table gives
-an empty one.
+turns are ordered by number, null ones first, those with equal numbers by role and text; turns without conversation id
+are one conversation; equal conversations have empty completions; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -68,17 +68,18 @@ def format_pairs(pairs: DataFrame, learn_role: str = "assistant") -> DataFrame:
     )
 
 
-def swapped_replies(convs: DataFrame) -> DataFrame:
-    """(pair_id, chosen, rejected): each conversation, and the same with its last turn's text replaced by the last turn's text of the conversation with the next id (removed if there is none)."""
-    other = convs.select((F.col("conv_id") - 1).alias("conv_id"), F.expr("element_at(turns, -1).text").alias("reply"))
+def crossed(convs: DataFrame) -> DataFrame:
+    """(pair_id, chosen, rejected): each conversation, and one that takes the first half of its turns (rounded down) and then the turns at the later places of the conversation with the next id, if there is one."""
+    other = convs.where("conv_id is not null").select((F.col("conv_id") - 1).alias("conv_id"), F.col("turns").alias("next"))
     joined = convs.join(other, "conv_id", "left")
-    last = F.array(F.struct(F.expr("element_at(turns, -1).turn").alias("turn"), F.expr("element_at(turns, -1).role").alias("role"), F.col("reply").alias("text")))
-    rejected = F.concat(F.expr("slice(turns, 1, size(turns) - 1)"), F.when(F.col("reply").isNotNull(), last).otherwise(F.expr(f"cast(array() as {TURNS})")))
+    half = "cast(size(turns) div 2 as int)"
+    rejected = F.expr(f"concat(slice(turns, 1, {half}), coalesce(slice(next, {half} + 1, greatest(size(next) - {half}, 0)), cast(array() as {TURNS})))")
     return joined.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.cast(TURNS).alias("rejected"))
 
 
 def op8_preferences(spark, sf_dir: str) -> DataFrame:
-    found = format_pairs(swapped_replies(conversations(table(spark, sf_dir, "conversations").where("conv_id is not null"))))
+    """One pair per conversation of the table (``crossed``), those without id as one; the prefix that the sides share is found by comparing turns."""
+    found = format_pairs(crossed(conversations(table(spark, sf_dir, "conversations"))))
 
     def spans(c: str) -> Column:
         return F.array_join(F.transform(c, lambda s: F.concat(s["start"], F.lit("+"), s["length"])), ",")
@@ -87,26 +88,28 @@ def op8_preferences(spark, sf_dir: str) -> DataFrame:
 
 
 OP8_SQL = r"""
-with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
-    row_number() over (partition by conv_id order by turn, role, text) as k, count(*) over (partition by conv_id) as n
-  from conversations where conv_id is not null),
-replies as (select conv_id - 1 as conv_id, text as reply from turns where k = n),
-sides as (select t.conv_id, t.k, t.n, t.role, t.text, case when t.k < t.n then t.text else r.reply end as other,
-    t.k < t.n or coalesce(r.reply = t.text, false) as same, t.k < t.n or r.reply is not null as present
-  from turns t left join replies r using (conv_id)),
-shared as (select conv_id, count(*) filter (same) as n_prompt from sides group by 1),
-pieces as (select s.conv_id, s.k, s.k <= h.n_prompt as is_prompt, s.role = 'assistant' as learned, present, h.n_prompt,
-    '<|' || role || '|>' || chr(10) || text || chr(10) as good, '<|' || role || '|>' || chr(10) || other || chr(10) as bad,
-    length(role) + 5 as head, length(text) + 1 as good_size, length(other) + 1 as bad_size
-  from sides s join shared h using (conv_id)),
-placed as (select *, coalesce(sum(head + good_size) over (partition by conv_id, is_prompt order by k rows between unbounded preceding and 1 preceding), 0) as good_at,
-    coalesce(sum(head + bad_size) over (partition by conv_id, is_prompt order by k rows between unbounded preceding and 1 preceding), 0) as bad_at
-  from pieces)
+with turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k, count(*) over (partition by conv_id) as n
+  from conversations),
+sizes as (select conv_id, any_value(n) // 2 as half from turns group by 1),
+rejected as (select s.conv_id, t.k, t.role, t.text from sizes s join turns t on t.conv_id is not distinct from s.conv_id and t.k <= s.half
+  union all select s.conv_id, t.k, t.role, t.text from sizes s join turns t on t.conv_id = s.conv_id + 1 and t.k > s.half),
+places as (select conv_id, k, t.role as role, t.text as text, r.role as other_role, r.text as other,
+    t.k is not null as here, r.k is not null as there, t.k is not null and r.k is not null and t.role = r.role and t.text = r.text as same
+  from (select coalesce(t.conv_id, r.conv_id) as conv_id, coalesce(t.k, r.k) as k, t, r
+    from turns t full join rejected r on t.conv_id is not distinct from r.conv_id and t.k = r.k)),
+shared as (select conv_id, coalesce(min(k) filter (not same) - 1, max(k)) as n_prompt from places group by 1),
+pieces as (select p.conv_id, p.k, p.k <= h.n_prompt as is_prompt, h.n_prompt, here, there, role = 'assistant' as learned, other_role = 'assistant' as other_learned,
+    '<|' || role || '|>' || chr(10) || text || chr(10) as good, '<|' || other_role || '|>' || chr(10) || other || chr(10) as bad,
+    length(role) + 5 as head, length(other_role) + 5 as other_head, length(text) + 1 as good_size, length(other) + 1 as bad_size
+  from places p join shared h on h.conv_id is not distinct from p.conv_id),
+placed as (select *, coalesce(sum(head + good_size) over w, 0) as good_at, coalesce(sum(other_head + bad_size) over w, 0) as bad_at from pieces
+  window w as (partition by conv_id, is_prompt order by k rows between unbounded preceding and 1 preceding))
 select conv_id as pair_id, any_value(n_prompt)::bigint as n_prompt,
   coalesce(string_agg(good, '' order by k) filter (is_prompt), '') as prompt,
-  coalesce(string_agg(good, '' order by k) filter (not is_prompt), '') as chosen,
-  coalesce(string_agg(bad, '' order by k) filter (not is_prompt and present), '') as rejected,
+  coalesce(string_agg(good, '' order by k) filter (not is_prompt and here), '') as chosen,
+  coalesce(string_agg(bad, '' order by k) filter (not is_prompt and there), '') as rejected,
   coalesce(string_agg((good_at + head)::bigint || '+' || good_size, ',' order by k) filter (not is_prompt and learned), '') as chosen_spans,
-  coalesce(string_agg((bad_at + head)::bigint || '+' || bad_size, ',' order by k) filter (not is_prompt and learned and present), '') as rejected_spans
+  coalesce(string_agg((bad_at + other_head)::bigint || '+' || bad_size, ',' order by k) filter (not is_prompt and other_learned), '') as rejected_spans
 from placed group by conv_id
 """

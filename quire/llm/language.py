@@ -5,8 +5,7 @@ shorter contexts. The scripts of a word's letters limit the languages to those w
 Viterbi over the words then finds the labelling with the best total when each change of language costs ``penalty``, and
 spans are its runs. All texts of a batch are decoded side by side, one word position at a time.
 
-Bound: about ``per_lang`` training rows per language, chosen by a hash of the id, make the model; ``most_grams`` n-grams
-are kept per language.
+Bound: about ``per_lang`` training rows per language, chosen by a hash of the id, make the model, with all of their n-grams.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; words without letters join the span around
 them; letters of no known script leave all languages open; rows without language or with the held-out remainder teach
@@ -20,7 +19,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import crc32_of, map_arrow, raw, table
@@ -149,18 +148,19 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return labels
 
 
-def fit(docs: DataFrame, per_lang: int = 1_500, most_grams: int = 20_000) -> Model:
+def fit(docs: DataFrame, per_lang: int = 1_500) -> Model:
     """Learn from about ``per_lang`` rows of each language whose crc32(id) mod 4 is not 2."""
     known = docs.where("lang is not null and doc_id is not null and text is not null").where(crc32_of("doc_id") % 4 != 2).select("doc_id", "lang", "text")
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
         raise ValueError("lang does not look like a language")
     langs = sorted(sizes)
-    # Rows are dealt by hash against their language's share, so no sort, window or join over a language is needed.
-    share = F.lit(None).cast("double")
+    # Rows are dealt by hash against their language's share of all hashes, so no sort, window or join over a language is needed.
+    most = F.lit(None).cast("long")
     if langs:
-        share = F.try_element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, per_lang / sizes[lang] * 1_000_000)]), F.col("lang"))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
+        below = {x: min(2**64, per_lang * 2**64 // sizes[x]) - 2**63 - 1 for x in langs}
+        most = F.try_element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, below[lang])]), F.col("lang"))
+    sample = known.where(F.xxhash64("doc_id") <= most).select("lang", "text")
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
         words: dict[str, Counter] = defaultdict(Counter)
@@ -185,9 +185,7 @@ def fit(docs: DataFrame, per_lang: int = 1_500, most_grams: int = 20_000) -> Mod
     total = map_arrow(sample, counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {x: {} for x in langs}
     scripts: dict[str, dict[str, int]] = {x: {} for x in langs}
-    is_script = F.col("gram").startswith("script:")
-    own = Window.partitionBy("lang", is_script).orderBy(F.desc("n"), "gram")
-    for r in total.withColumn("place", F.row_number().over(own)).where(is_script | (F.col("place") <= most_grams)).collect():
+    for r in total.collect():  # n-grams of the sample
         (scripts if r.gram.startswith("script:") else counts)[r.lang][r.gram.removeprefix("script:")] = r.n
     return Model(langs, counts, scripts)
 
@@ -237,6 +235,8 @@ def identified(docs: DataFrame, model: Model, penalty: float = 12.0, at_once: in
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
+    """Language of each row of ``documents`` and its spans (language, first word, words); defined cases as in the module's docstring."""
     docs = table(spark, sf_dir, "documents")
     found = identified(docs, fit(docs))
-    return found.select("doc_id", (F.coalesce(crc32_of("doc_id") % 4, F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["lang"], F.lit("@"), s["first"], F.lit("+"), s["words"])), ";")
+    return found.select("doc_id", (F.coalesce(crc32_of("doc_id") % 4, F.lit(0)) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"), spans.alias("spans"))

@@ -1,12 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists, distance-weighted votes, calibrated.
 
-Terms are lower-cased words of letters and their character 4-grams, kept where a G-test ties them to the label in the
-sample. Document frequencies of the kept terms are counted over all documents. Examples with equal vectors share one
+Terms are lower-cased words of letters and their character 4-grams. Kept are those that a G-test ties to the label in
+the sample, beyond a limit that ``chance`` unrelated terms of all that the sample has are expected to pass; so the rule is
+the same at any size and has no cap. A table with too few positive rows to tie any term to the label gives every text
+the positive rate. With ``chance=None`` all terms are kept: vectors are then those of the whole texts, as far as the
+examples have their terms. Document frequencies of the kept terms are counted over all documents. Examples with equal vectors share one
 entry that carries their counts, so ties at the k-th place are all counted and no order decides. A list of examples is
 cut into blocks that know each term's largest weight; a block whose bound is under the k-th similarity found so far
 cannot hold a neighbour and is skipped, which leaves the search exact.
 
-Bound: ``sample`` labelled rows (by hash of the id) and ``most_terms`` terms make the classifier, whatever the input.
+Bound: ``sample`` labelled rows (by hash of the id) make the classifier, whatever the input; its terms are among theirs.
 
 Defined cases: a null, empty or unmatched text has no neighbour and gets the positive rate of examples without terms;
 without any labelled example every score is 0; repeated label rows count once, 1 if any is 1; labels without document
@@ -15,6 +18,7 @@ and null labels are ignored; documents that repeat are scored alike.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
@@ -214,8 +218,17 @@ def training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return F.broadcast(chosen).join(docs.select(F.col("doc_id").alias("id"), "text"), F.col("doc_id") == F.col("id")).select("id", "label", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int = 2_048, least_g: float = 25.0, k: int = 25) -> Model:
-    """Learn from a bounded sample of labelled rows; count the kept terms over all ``docs``."""
+def chi_square_limit(tail: float) -> float:
+    """What a chi-square variable of one degree of freedom exceeds with chance ``tail``."""
+    low, high = 0.0, 1500.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if math.erfc(math.sqrt(mid / 2)) > tail else (low, mid)
+    return high
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, chance: float | None = 1.0, k: int = 25) -> Model:
+    """Learn from a bounded sample of labelled rows; count the kept terms over all ``docs``. ``chance``: how many unrelated terms may be expected among the kept ones, None to keep all."""
     rows = cut(training(docs, labels, sample))
 
     def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -230,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int
     all_n, all_pos = rows.agg(F.count("*"), F.sum("label")).first()
     vocabulary: list[str] = []
     if all_n and all_pos:
-        seen = map_arrow(rows, counted, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+        seen = cut(map_arrow(rows, counted, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")))
+        limit = 0.0 if chance is None else chi_square_limit(min(1.0, chance / max(1, seen.count())))
 
         def part(observed, expected):
             return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
@@ -238,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_192, most_terms: int
         n, pos, rate = F.col("n"), F.col("pos"), all_pos / all_n
         cells = [(pos, n * rate), (n - pos, n * (1 - rate)), (all_pos - pos, (all_n - n) * rate), (all_n - all_pos - n + pos, (all_n - n) * (1 - rate))]
         g = 2 * sum((part(o, e) for o, e in cells), F.lit(0.0))
-        best = seen.withColumn("g", g).where(F.col("g") >= least_g).orderBy(F.desc("g"), "term").limit(most_terms)
-        vocabulary = [r.term for r in best.select("term").collect()]
+        best = seen if chance is None else seen.where(g >= limit)
+        vocabulary = sorted(r.term for r in best.select("term").collect())  # among the terms of the sample
     terms = tuple(vocabulary)
 
     def present(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -280,6 +294,7 @@ THRESHOLD = 0.7
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score of each row of ``documents`` with ids of its nearest examples; defined cases as in the module's docstring."""
     docs = table(spark, sf_dir, "documents")
     found = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (F.coalesce(crc32_of("doc_id") % 3, F.lit(0)) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))

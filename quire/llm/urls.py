@@ -4,7 +4,8 @@ The filter has one row of eight 32-bit words per block; a key sets one bit in ea
 split-block filters. It is built by a bitwise-or aggregate, so its size follows the list and no task holds all of it.
 A filter under ``broadcast_bytes`` (its block count is known beforehand) is broadcast to the pages; a larger one is
 joined by block number. Pages that miss are done; the distinct URLs of possible hits are joined with the list, which
-removes false positives, so a URL that a third of all pages share enters the exact join once.
+removes false positives. What is left of them goes back to its pages by broadcast while there are few, else by a join
+that cuts the pages of a frequent URL into parts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, meets no rule and is never listed; an empty
 list blocks nothing; repeated pages are judged alike; of rules of equal length the one that sorts first wins.
@@ -17,10 +18,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, table
+from quire.llm.common import cut, salted_join, table
 
 #: The eight odd multipliers of the public split-block Bloom filter format.
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
+#: Listed URLs that may be broadcast: a URL is some 100 bytes.
+FEW = 100_000
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
@@ -76,13 +79,17 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] = RU
     bloom = bloom_filter(keys, "canonical", n_blocks)
     block, masks = _place(F.col("canonical"), n_blocks)
     small = n_blocks * 72 <= broadcast_bytes
-    seen = df.withColumn("block", block).join(F.broadcast(bloom) if small else bloom, "block", "left")
+    placed = df.withColumn("block", F.coalesce(block, F.lit(0)))
+    seen = placed.join(F.broadcast(bloom), "block", "left") if small else salted_join(cut(placed), bloom, "block", "left")
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) == m)
     seen = seen.withColumn("possible", F.coalesce(F.col("canonical").isNotNull() & hit, F.lit(False))).drop("block", *[f"w{i}" for i in range(8)])
-    hits = seen.where("possible").select("canonical").distinct().join(keys, "canonical", "left_semi").withColumn("listed", F.lit(True))
-    judged = seen.where("possible").join(hits, "canonical", "left").unionByName(seen.where("not possible").withColumn("listed", F.lit(None).cast("boolean")))
+    seen = cut(seen)  # pages are read once; their judgement has no html
+    doubtful = seen.where("possible")
+    hits = cut(doubtful.select("canonical").distinct().join(keys, "canonical", "left_semi").withColumn("listed", F.lit(True)))
+    judged = doubtful.join(F.broadcast(hits), "canonical", "left") if hits.count() <= FEW else salted_join(doubtful, hits, "canonical", "left")
+    judged = judged.unionByName(seen.where("not possible").withColumn("listed", F.lit(None).cast("boolean")))
     judged = judged.withColumn("listed", F.coalesce("listed", F.lit(False)))
     method = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "possible", "listed")

@@ -1,4 +1,6 @@
 import itertools
+import zlib
+from collections import Counter
 
 import numpy as np
 from edge import no_documents, odd_documents
@@ -51,10 +53,56 @@ def test_odd_rows(spark):
     assert {(r.doc_id, r.lang_pred, r.score) for r in tiny.collect()} == found
 
 
-def test_each_language_keeps_its_own_grams(spark):
-    """A language with few and short rows keeps as many n-grams as one with many."""
-    rows = [(i, "the river and the house with thing and other words that they think " * 20, "en") for i in range(200)]
-    rows += [(i, "река и дом где люди", "ru") for i in range(300, 340)]
-    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_grams=40)
-    assert {x: len(model.counts[x]) for x in ("en", "ru")} == {"en": 40, "ru": 40}
-    assert model.open["cyrillic"].tolist() == [False, True]
+def test_rare_language(spark):
+    """A language with few and short rows beside two with many keeps all of its n-grams, and its texts."""
+    rows = [(i, " ".join(f"the{i}river and{i * 7 % 91}house".split()) + " with thing and other words that they think " * 20, "en") for i in range(400)]
+    rows += [(1000 + i, f"der fluss{i} und das haus mit vielen worten die wir denken " * 20, "de") for i in range(400)]
+    rare = [(5000 + i, "ang ilog at bahay kung saan nag uusap", "tl") for i in range(6)]
+    model = language.fit(spark.createDataFrame([*rows, *rare], "doc_id long, text string, lang string"))
+    assert set(model.counts["tl"]) == set(grams("ang ilog at bahay kung saan nag uusap"))
+    assert language.labelled(model, [b"ang bahay at ilog"], 12.0)[0][0] == "tl"
+
+
+def test_sample_is_bounded(spark):
+    rows = spark.range(6000).selectExpr("id as doc_id", "'some words' as text", "if(id % 100 = 0, 'xx', 'en') as lang")
+    model = language.fit(rows, per_lang=300)
+    words = {x: model.counts[x]["s"] // 2 for x in ("en", "xx")}  # "some words" has two
+    assert 200 < words["en"] < 400 and words["xx"] == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(0, 6000, 100))
+
+
+def grams(text):
+    """All n-grams that end at a letter or mark and their contexts, one by one."""
+    found = Counter()
+    for word in text.split():
+        m = "\x02" + word + "\x03"
+        for i in range(1, len(m)):
+            for n in (1, 2, 3):
+                if i - n + 1 >= 0:
+                    found[m[i - n + 1 : i + 1]] += 1
+                    if n > 1:
+                        found["^" + m[i - n + 1 : i]] += 1
+    return found
+
+
+def test_scores_by_hand(spark):
+    """A word's score is the sum of smoothed trigram log probabilities, written out."""
+    texts = {"aa": "abba baab abab", "bb": "bcbc cbbc ccb abc"}
+    rows = [(k, t, lang) for lang, t in texts.items() for k in range(60)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = {x: grams(t) for x, t in texts.items()}
+    n = sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(60))
+
+    def logp(word, lang):
+        c, m, total = own[lang], "\x02" + word + "\x03", 0.0
+        size = n * sum(v for g, v in c.items() if len(g) == 1)
+        for i in range(1, len(m)):
+            p = (n * c[m[i]] + 0.05) / (size + 50)
+            for width in (2, 3):
+                if i - width + 1 >= 0:
+                    p = (n * c[m[i - width + 1 : i + 1]] + 3 * p) / (n * c["^" + m[i - width + 1 : i]] + 3)
+            total += np.log(p)
+        return total
+
+    for word in ("abc", "bab", "c", "zz"):
+        want = np.array([logp(word, x) for x in model.langs])
+        assert np.allclose(model.scores([word])[0][0], want - want.max())

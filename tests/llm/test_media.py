@@ -25,6 +25,7 @@ def test_damage_is_seen():
     stream = media.write_stream(payload)
     lost = media.read_stream(stream[: 188 * 10] + stream[188 * 11 :])
     assert lost.gaps == 1 and [u.broken for u in lost.units] == [True, False, False]
+    assert lost.unnamed == 0
     twice = media.read_stream(stream[: 188 * 11] + stream[188 * 10 :])
     assert twice.repeats == 1 and twice.gaps == 0 and b"".join(u.data for u in twice.units) == payload
     around = media.read_stream(b"xx" + stream + b"yy")
@@ -35,6 +36,65 @@ def test_damage_is_seen():
     assert media.read_stream(b"").units == [] and media.read_stream(b"nothing").packets == 0
 
 
+def by_hand(pid, payload, counter, begins):
+    """A packet of raw bytes, made without the writer."""
+    assert len(payload) == 184
+    return bytes([0x47, (0x40 if begins else 0) | pid >> 8, pid & 255, 0x10 | counter]) + payload
+
+
+def crc_bits(data):
+    """The checksum of sections, bit by bit."""
+    c = 0xFFFFFFFF
+    for byte in data:
+        for k in range(7, -1, -1):
+            top = (c >> 31) ^ (byte >> k & 1)
+            c = (c << 1) & 0xFFFFFFFF ^ (0x04C11DB7 if top else 0)
+    return c.to_bytes(4, "big")
+
+
+def section(table, body):
+    head = bytes([table, 0xB0, len(body) + 9, 0, 1, 0xC1, 0, 0]) + body
+    return head + crc_bits(head)
+
+
+PAT = section(0, bytes([0, 7, 0xE0 | 0x02, 0x30]))  # program 7: map in PID 0x230
+PMT = section(2, bytes([0xE1, 0x11, 0xF0, 0, 0x1B, 0xE1, 0x11, 0xF0, 0]))  # video in PID 0x111
+PES = bytes([0, 0, 1, 0xE0, 0, 0, 0x80, 0xC0, 10, 0x31, 0, 5, 0xBF, 0x21, 0x11, 0, 5, 0x9F, 0x91]) + bytes(range(165))  # one second, and 85,960 ticks
+
+
+def test_hand_made_stream():
+    """Sections behind others and behind a pointer, timestamps and a unit, all from raw bytes."""
+    other = section(0x42, b"x" * 30)
+    fill = lambda b: b.ljust(184, b"\xff")
+    several = by_hand(0, fill(b"\0" + other + PAT), 0, True)
+    # The map begins at the end of one packet and ends behind the pointer of the next, where a second copy begins.
+    early, late = b"\0" + section(0x42, b"y" * 161) + PMT[:10], bytes([len(PMT) - 10]) + PMT[10:] + PMT
+    split = by_hand(0x230, early, 3, True) + by_hand(0x230, fill(late), 4, True)
+    found = media.read_stream(several + split + by_hand(0x111, PES, 0, True))
+    assert (found.programs, found.streams, found.clock_pid) == ({7: 0x230}, {0x111: 0x1B}, 0x111)
+    assert (found.bad_tables, found.gaps, found.unnamed, found.packets) == (0, 0, 0, 4)
+    (unit,) = found.units
+    assert unit.data == bytes(range(165)) and not unit.broken and unit.stream_id == 0xE0
+    assert (unit.pts, unit.dts) == (90_000, 85_960)
+    cut = media.read_stream(several + by_hand(0x230, early, 3, True) + by_hand(0x230, fill(late), 6, True) + by_hand(0x111, PES, 0, True))
+    assert cut.gaps == 1 and cut.bad_tables == 1 and len(cut.units) == 1 and cut.streams == {0x111: 0x1B}
+    alone = media.read_stream(by_hand(0x111, PES, 0, True) + by_hand(0x111, PES, 1, True))
+    assert alone.unnamed == 2 and [u.data for u in alone.units] == [bytes(range(165))] * 2
+    begun = media.read_stream(several + by_hand(0x230, early, 3, True))
+    assert begun.bad_tables == 1
+
+
+def test_streams_can_be_entered():
+    payload = media.padded(random.Random(4).randbytes(100_000))
+    stream = media.write_stream(payload)
+    whole = media.read_stream(stream)
+    assert len(whole.units) == 4
+    for k, unit in enumerate(whole.units):
+        found = media.read_stream(stream[unit.offset :])
+        assert [u.data for u in found.units] == [u.data for u in whole.units[k:]] and not any(u.broken for u in found.units)
+        assert [u.pts for u in found.units] == [u.pts for u in whole.units[k:]] and (found.gaps, found.bad_tables, found.unnamed, found.skipped) == (0, 0, 0, 0)
+
+
 def test_crc():
     assert media.crc_mpeg(b"123456789") == 0x0376E6E7
 
@@ -47,6 +107,8 @@ def test_query(spark, sf_dir):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         stream = media.write_stream(payload)
         assert (r.media_bytes, r.media_sha256) == (len(stream), hashlib.sha256(stream).hexdigest()) and r.feature.endswith("gaps=0;bad=0")
+        units = media.read_stream(stream).units
+        assert r.timestamps == ",".join(f"{u.pts}@{u.offset}*" for u in units) and len(units) == -(-len(payload) // media.UNIT)
 
 
 def test_odd_rows(spark):

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -65,6 +66,60 @@ def test_held_out_accuracy(spark, labelled):
     assert kept.columns == docs.columns and kept.count() == 900
 
 
+def brute_scores(docs, labels, vocabulary, prior, k=25):
+    """Shares of positive votes before calibration, from dense TF-IDF vectors and all similarities."""
+    texts = {r.doc_id: toxicity.WORD.findall(r.text.lower()) for r in docs}
+    found = {i: Counter(f for w in t for f in toxicity.features(w)) for i, t in texts.items()}
+    place = {t: j for j, t in enumerate(sorted(vocabulary))}
+    idf = np.zeros(len(place))
+    for t, j in place.items():
+        idf[j] = np.log((len(texts) + 1) / (sum(t in c for c in found.values()) + 1)) + 1
+    dense = {}
+    for i, c in found.items():
+        v = np.zeros(len(place))
+        for t, n in c.items():
+            if t in place:
+                v[place[t]] = (1 + np.log(n)) * idf[place[t]]
+        dense[i] = v / (np.linalg.norm(v) or 1)
+    known = {r.doc_id: r.toxic for r in labels if zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    out = {}
+    for i, v in dense.items():
+        near = sorted(((float(v @ dense[j]), y) for j, y in known.items()), reverse=True)
+        near = [(s, y) for s, y in near if s >= near[k - 1][0] - 1e-9 and s > 0]
+        weights = [s / (1.05 - min(s, 1.0)) for s, _ in near]
+        out[i] = (sum(w * y for w, (_, y) in zip(weights, near)) + prior) / (sum(weights) + 1)
+    return out
+
+
+@pytest.mark.parametrize("chance", [1.0, None])
+def test_scores_equal_brute_force(spark, chance):
+    """End to end over selected terms and over all terms of whole texts: nearest examples by every similarity."""
+    rng = np.random.default_rng(6)
+    words = [f"w{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10]}" for x in range(60)]
+    rows = []
+    for i in range(330):
+        own = [words[x] for x in rng.integers(0, 60, 12)]
+        rows.append((i, " ".join(own + (["nastyword"] * int(rng.integers(1, 3)) if i % 5 == 0 else []))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0 or i % 37 == 0)) for i in range(0, 330, 2)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, chance=chance)
+    want = brute_scores(docs.collect(), labels.collect(), model.vocabulary, model.empty)
+    if chance is None:
+        assert len(model.vocabulary) > 150
+    else:
+        assert "nastyword" in model.vocabulary and len(model.vocabulary) < 20
+    counts = toxicity.Counts({t: i for i, t in enumerate(model.vocabulary)})
+    for i, text in rows:
+        found = counts(text.encode())
+        if found:
+            assert model.votes(*model.vector(list(found), list(found.values())))[0] == pytest.approx(want[i], abs=1e-9)
+
+
+def test_limit_of_association():
+    assert toxicity.chi_square_limit(0.05) == pytest.approx(3.841, abs=1e-3) and toxicity.chi_square_limit(1e-5) == pytest.approx(19.51, abs=1e-2)
+    assert toxicity.chi_square_limit(1.0) == pytest.approx(0, abs=1e-6)
+
+
 def test_no_labels_and_odd_rows(spark, labelled):
     docs, labels = labelled
     odd = odd_documents(spark)

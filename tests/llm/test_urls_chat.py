@@ -76,8 +76,38 @@ def test_prefixes(spark):
     assert found[3].n_prompt == 0 and found[4].prompt == "" and found[4].rejected != "" and found[5].prompt == "" and found[7].rejected == ""
 
 
+def test_query_on_odd_rows(spark, tmp_path):
+    """Null ids, numbers, roles and texts, repeated rows, shared beginnings and extra columns: the same as in SQL, and by hand."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d")]
+    rows += [(2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (2, 3, "assistant", "e"), (2, 4, "user", "f")]
+    rows += [(4, 0, None, "x"), (4, 1, "assistant", None), (4, 1, "assistant", None), (5, None, "user", "n"), (5, 0, "assistant", "m"), (None, 0, "user", "a"), (None, None, "assistant", "q")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn int, role string, text string, prompt string")
+    frame.write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    rel = con.execute(chat.OP8_SQL)
+    names = [d[0] for d in rel.description]
+    found = chat.op8_preferences(spark, str(tmp_path)).collect()
+    assert sorted(str({n: r[n] for n in names}) for r in found) == sorted(str(dict(zip(names, x))) for x in rel.fetchall())
+    by = {r.pair_id: r for r in found}
+    assert {k: r.n_prompt for k, r in by.items()} == {1: 3, 2: 2, 4: 1, 5: 1, None: 1}
+    assert by[1].chosen == "<|assistant|>\nd\n" and by[1].rejected == "<|assistant|>\ne\n<|user|>\nf\n"
+    assert by[5].prompt == "<|user|>\nn\n" and by[5].rejected == ""
+
+
+def test_hot_urls(spark, monkeypatch):
+    """A URL of most pages is listed or not alike, whether the list goes by broadcast or not."""
+    pages = spark.range(6000).selectExpr("id as page_id", "case when id % 3 > 0 then 'http://hot/x.html' else concat('http://k', id) end as url")
+    pages = pages.unionByName(pages.where("page_id < 5")).unionByName(spark.createDataFrame([(9000, "http://" + "long" * 20000), (9001, None)], "page_id long, url string"))
+    keys = spark.createDataFrame([("hot/x",), ("k3",), ("long" * 20000,)], "canonical string")
+    want = sorted(map(tuple, urls.judge(pages, keys).collect()))
+    monkeypatch.setattr(urls, "FEW", 0)
+    assert sorted(map(tuple, urls.judge(pages, keys, broadcast_bytes=0).collect())) == want
+    assert len(want) == 6007 and sum(r[-1] for r in want) == 4003 + 2 + 1  # of the hot URL, of k3 and of the long one
+
+
 def test_odd_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (1, 1, None, None, "x"), (2, 0, "user", "b", "x")], "conv_id long, turn int, role string, text string, reply string")
-    found = chat.format_pairs(chat.swapped_replies(chat.conversations(rows))).collect()
+    found = chat.format_pairs(chat.crossed(chat.conversations(rows))).collect()
     assert len(found) == 2
     assert chat.conversations(rows.where("false")).count() == 0
