@@ -301,7 +301,8 @@ def pack(found: DataFrame, length: int = LENGTH, part_rows: int = 2_000) -> Data
     return map_arrow(ranked, rows_of, schema)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): the pieces of all texts by the public word vocabulary."""
     import public_tokenizers
 
     found = pack(cut(pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)))
@@ -309,4 +310,5 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return _packed(table(spark, sf_dir, "documents"))
+    """Every piece of every row of ``documents`` with its sequence and place; defined cases as in the module's docstring."""
+    return packed(table(spark, sf_dir, "documents"))

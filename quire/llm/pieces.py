@@ -21,6 +21,7 @@ import heapq
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, map_arrow, partitions_for, raw, table
+from quire.llm.common import cut, map_arrow, partitions_for, raw, salted_join, table, whole
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CUTS = re.compile(f"(?<=[^{MARK}]){MARK}")
 CHUNK, GROUP, CACHED = 16_384, 256, 150_000
+#: Chunks whose matrices one task combines.
+TASK_CHUNKS = 512
 NONE = float("-inf")
 
 
@@ -340,18 +343,30 @@ def borders(split: DataFrame, path: str, kind: str) -> DataFrame:
 
     each = cut(map_arrow(split.select("h", "k", "left", "text", "right"), matrices, f"h string, k long, cells {CELL}").withColumn("g", F.floor(F.col("k") / GROUP)))
 
-    # Matrices are small but work to combine: their tasks are dealt by number, or they would be merged by size into one.
-    tasks = partitions_for(each.sparkSession, 0, 1)
-    each = each.repartition(tasks, "h", "g")
+    # Matrices are small but work to combine. Tasks that are merged by size would get all of them, so groups of chunks
+    # are dealt to a number of tasks that follows the number of chunks, and a task goes through its groups itself.
+    tasks = partitions_for(each.sparkSession, each.count(), TASK_CHUNKS)
+
+    def by_group(rows_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = whole(batches)
+            if rows is None:
+                return
+            rows = rows.sort_by([("h", "ascending"), ("g", "ascending"), ("k", "ascending")])
+            h, g = rows["h"].to_pylist(), rows["g"].to_pylist()
+            begin = [i for i in range(len(h)) if not i or (h[i], g[i]) != (h[i - 1], g[i - 1])]
+            for a, b in zip(begin, [*begin[1:], len(h)]):
+                yield from rows_of(rows.slice(a, b - a)).to_batches()
+
+        return run
 
     def product(own: pa.Table) -> pa.Table:
-        own = own.sort_by("k")
         total = None
         for cells in own["cells"].to_pylist():
             total = _matrix(cells) if total is None else compose(total, _matrix(cells))
         return pa.table({"h": own["h"][:1], "g": own["g"][:1], "cells": pa.array([_cells(total)], _CELL)})
 
-    groups = each.groupBy("h", "g").applyInArrow(product, f"h string, g long, cells {CELL}")
+    groups = each.repartition(tasks, "h", "g").mapInArrow(by_group(product), f"h string, g long, cells {CELL}")
 
     def ends(own: pa.Table) -> pa.Table:
         own = own.sort_by("g")
@@ -361,12 +376,11 @@ def borders(split: DataFrame, path: str, kind: str) -> DataFrame:
     known = groups.groupBy("h").applyInArrow(ends, "h string, g long, from_d int, from_s string, to_d int, to_s string")
 
     def inside(own: pa.Table) -> pa.Table:
-        own = own.sort_by("k")
         at = own.slice(0, 1).to_pylist()[0]
         states = trace([_matrix(c) for c in own["cells"].to_pylist()], (at["from_d"], at["from_s"]), (at["to_d"], at["to_s"]))
         return pa.table({"h": own["h"], "k": own["k"], "in_d": pa.array([s[0] for s in states[:-1]], pa.int32()), "out_d": pa.array([s[0] for s in states[1:]], pa.int32())})
 
-    return each.join(known, ["h", "g"]).groupBy("h", "g").applyInArrow(inside, "h string, k long, in_d int, out_d int")
+    return each.join(known, ["h", "g"]).repartition(tasks, "h", "g").mapInArrow(by_group(inside), "h string, k long, in_d int, out_d int")
 
 
 PART = "n_ids long, crc long, decoded boolean, ids binary"
@@ -403,7 +417,7 @@ def _encoded(docs: DataFrame, path: str, kind: str, chunk: int, with_ids: bool)
     giant = docs.where(long).select("doc_id", "text", F.sha2("text", 256).alias("h"))
     split = cut(chunks(giant.select("h", "text"), path, kind, chunk).dropDuplicates(["h", "k"]))
     joined = split.join(borders(split, path, kind), ["h", "k"]).select("h", "k", "text", "right", "in_d", "out_d")
-    return short, giant.select("doc_id", "h"), map_arrow(joined, traced, f"h string, k long, {PART}")
+    return short, cut(giant.select("doc_id", "h")), map_arrow(joined, traced, f"h string, k long, {PART}")
 
 
 def encode(docs: DataFrame, path: str, kind: str = "bpe", chunk: int = CHUNK) -> DataFrame:
@@ -412,7 +426,7 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe", chunk: int = CHUNK) ->
     ids are little-endian 32-bit numbers, crc their crc32; decoded tells whether decoding them gives back their text.
     """
     short, giant, parts = _encoded(docs, path, kind, chunk, True)
-    return short.unionByName(giant.join(parts, "h").drop("h"))
+    return short.unionByName(salted_join(giant, parts, "h").drop("h"))
 
 
 def decode(parts: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
@@ -437,10 +451,11 @@ def digests(docs: DataFrame, path: str, kind: str = "bpe", chunk: int = CHUNK) -
         return pa.table({"h": own["h"][:1], "n_chunks": pa.array([len(own)], pa.int64()), "n_ids": pa.array([sum(own["n_ids"].to_pylist())], pa.int64()), "ids_crc32": pa.array([crc], pa.int64()), "decoded": pa.array([all(own["decoded"].to_pylist())])})
 
     texts = parts.drop("ids").groupBy("h").applyInArrow(joined, "h string, n_chunks long, n_ids long, ids_crc32 long, decoded boolean")
-    return short.select("doc_id", F.lit(1).cast("long").alias("n_chunks"), "n_ids", F.col("crc").alias("ids_crc32"), "decoded").unionByName(giant.join(texts, "h").drop("h"))
+    return short.select("doc_id", F.lit(1).cast("long").alias("n_chunks"), "n_ids", F.col("crc").alias("ids_crc32"), "decoded").unionByName(salted_join(giant, texts, "h").drop("h"))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """Chunks, ids and their crc32 for each row of ``documents``, and whether they decode to its text; defined cases as in the module's docstring."""
     import public_tokenizers
 
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -2,15 +2,18 @@
 
 All of it is DataFrame expressions. The statistics of a text are one projection without a shuffle. Vectors of
 transformed statistics are fitted per (language, source) by minimum covariance determinant: from a median and MAD start,
-concentration steps keep the half of a group with the least Mahalanobis distances and refit, until nothing changes; a
-reweighting step follows. Every statistic of a group is a mergeable aggregate: distances and coordinates are counted in
+concentration steps keep the half of a group with the least Mahalanobis distances and refit, until nothing changes or
+``most_steps`` are done (each lowers the determinant, the first ones by far the most); a reweighting step follows. The
+start is one for all, not several at random: it is the same on every run, and good where each statistic alone has a
+clear middle. FLOOR is added to the spread of every coordinate: a document must differ by that much to count, however
+alike its group is. Every statistic of a group is a mergeable aggregate: distances and coordinates are counted in
 fine fixed buckets, so the half and the medians are exact to a bucket, the same on every run, and a group that holds a
 third of all rows costs one row per bucket and task. Groups under ``least_rows`` are fitted with their language, then
 with all rows; with fewer than that in all, no document is an outlier.
 
 Defined cases: a null or empty text has zero counts and fails the base rules; null language or source is a group of its
-own; rows that repeat are judged alike; an empty table gives an empty one. Window hashes keep 64 bits less the bits of
-a position (55 at 500 words), so two different windows of one text are taken for equal with negligible chance.
+own; rows that repeat are judged alike; an empty table gives an empty one. Windows are sorted by the part of their hash
+that a position leaves room for, and neighbours count as equal only if their whole 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -42,11 +45,12 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     # Sorted keys of 3-word windows: hash above, position in the lowest bits; equal neighbours are repeated windows.
     df = df.withColumn("__b", F.length(F.bin(size)))
-    df = df.withColumn("__k", F.expr("""sort_array(case when size(__w) < 3 then cast(array() as array<bigint>) else
-        transform(array(transform(__w, w -> xxhash64(w))), h -> transform(sequence(0, size(h) - 3), i -> shiftleft(xxhash64(h[i], h[i + 1], h[i + 2]), __b) | cast(i as bigint)))[0] end)"""))
-    df = df.withColumn("__p", F.expr("""sort_array(transform(array(transform(__k, x -> shiftrightunsigned(x, __b))), h -> transform(
-        filter(transform(__k, (x, i) -> if(h[i] = get(h, i - 1) or h[i] = get(h, i + 1), x, null)), x -> x is not null), x -> x & (shiftleft(1L, __b) - 1L)))[0])"""))
-    df = df.withColumn("n_repeat_words", F.expr("transform(array(__p), p -> aggregate(transform(p, (x, i) -> least(3L, coalesce(get(p, i + 1) - x, 3L))), 0L, (a, x) -> a + x))[0]"))
+    df = df.withColumn("__f", F.expr("""case when size(__w) < 3 then cast(array() as array<bigint>) else
+        transform(array(transform(__w, w -> xxhash64(w))), h -> transform(sequence(0, size(h) - 3), i -> xxhash64(h[i], h[i + 1], h[i + 2])))[0] end"""))
+    df = df.withColumn("__k", F.expr("transform(sort_array(transform(__f, (x, i) -> shiftleft(x, __b) | cast(i as bigint))), x -> cast(x & (shiftleft(1L, __b) - 1L) as int))"))
+    df = df.withColumn("__p", F.expr("""sort_array(transform(array(transform(__k, i -> __f[i])), h ->
+        filter(transform(__k, (x, i) -> if(h[i] = get(h, i - 1) or h[i] = get(h, i + 1), x, null)), x -> x is not null))[0])"""))
+    df = df.withColumn("n_repeat_words", F.expr("transform(array(__p), p -> aggregate(transform(p, (x, i) -> cast(least(3, coalesce(get(p, i + 1) - x, 3)) as bigint)), 0L, (a, x) -> a + x))[0]"))
     return df.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         size.cast("long").alias("n_words"),
@@ -180,14 +184,14 @@ def robust_fit(rows: DataFrame, share: float = 0.5, most_steps: int = 12) -> Dat
     return cut(_factor(_moments(close, 0.975 / _chi2(outer, p + 2))))
 
 
-def verdicts(docs: DataFrame, least_rows: int = 60, tail: float = 1e-6) -> DataFrame:
-    """(doc_id, lang, source, text_hash, the statistics, base_failed, d2, kept): one row per row of ``docs``.
+def verdicts(docs: DataFrame, carried: list[str] | None = None, least_rows: int = 60, tail: float = 1e-6) -> DataFrame:
+    """(row, doc_id, the statistics, base_failed, d2, kept): one row per row of ``docs``, whose columns (or those of ``carried``) are in the struct ``row``.
 
     A document is kept if the base rules pass and its squared distance is at most the chi-square quantile that a
-    Gaussian document exceeds with chance ``tail``.
+    Gaussian document exceeds with chance ``tail``. Rows stay where they are: only sums and small tables travel.
     """
-    stats = statistics(docs.select("doc_id", "lang", "source", "text"))
-    stats = stats.withColumn("text_hash", F.xxhash64("text")).drop("text")
+    own = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carried is None else carried)])
+    stats = statistics(docs.select(own.alias("row"), "doc_id", "lang", "source", "text")).drop("text")
     stats = cut(vectors(stats).withColumn("base_failed", base_failed()).withColumn("key_lang", F.coalesce(F.concat(F.lit("v"), "lang"), F.lit("n"))).withColumn("key", F.concat_ws("\t", "key_lang", F.coalesce(F.concat(F.lit("v"), "source"), F.lit("n")))))
     passed = stats.where(~F.col("base_failed"))
     sizes = cut(passed.groupBy("key", "key_lang").agg(F.count("*").alias("n")))
@@ -206,19 +210,18 @@ def verdicts(docs: DataFrame, least_rows: int = 60, tail: float = 1e-6) -> DataF
     judged = named.join(few, "g", "left")
     for name, step in distance2():
         judged = judged.withColumn(name, step)
-    own = ["doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    own = ["row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     limit = _quantile(1 - tail, len(VECTOR))
     good = judged.select(*own, "d2", F.coalesce(F.col("d2") <= limit, F.lit(True)).alias("kept"))
     return good.unionByName(stats.where("base_failed").select(*own, F.lit(None).cast("double").alias("d2"), F.lit(False).alias("kept")))
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
-    found = verdicts(table(spark, sf_dir, "documents"))
+    """Statistics and verdict of each row of ``documents``; defined cases as in the module's docstring."""
+    found = verdicts(table(spark, sf_dir, "documents"), carried=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("d2", 6).alias("distance2"))
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the base rules and the outlier test keep."""
-    lost = verdicts(docs).where("not kept").select(*[F.col(c).alias(f"__lost_{c}") for c in ("doc_id", "lang", "source", "text_hash")]).distinct()
-    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"__lost_{c}")) for c in ("doc_id", "lang", "source")]
-    return docs.join(lost, [*same, F.xxhash64("text") == F.col("__lost_text_hash")], "left_anti")
+    return verdicts(docs).where("kept").select("row.*")

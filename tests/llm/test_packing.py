@@ -113,8 +113,8 @@ def test_salted_ranks(spark):
 
 def test_odd_rows(spark):
     docs = odd_documents(spark)
-    found = packing._packed(docs)
+    found = packing.packed(docs)
     assert {r.doc_id for r in found.collect()} == {r.doc_id for r in docs.collect()}
     places = [(r.sequence_id, r.offset) for r in found.collect()]
     assert len(places) == len(set(places))
-    assert packing._packed(no_documents(spark)).count() == 0
+    assert packing.packed(no_documents(spark)).count() == 0

@@ -96,3 +96,56 @@ def test_odd_rows(spark):
     kept = quality.drop_low_quality(docs)
     assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
     assert quality.verdicts(no_documents(spark)).count() == 0
+
+
+def test_drop_keeps_rows_as_they_are(spark):
+    """Columns of the same names as statistics, nulls, repeats; only rows that fail go."""
+    docs = odd_documents(spark).withColumn("n_words", quality.F.lit("mine")).withColumn("d2", quality.F.lit(1)).withColumn("row", quality.F.lit(2))
+    good = " ".join(f"word{i} and more" for i in range(40))
+    docs = docs.unionByName(docs.limit(1).withColumn("text", quality.F.lit(good)).withColumn("doc_id", quality.F.lit(500).cast("long")))
+    kept = quality.drop_low_quality(docs)
+    assert kept.columns == docs.columns
+    assert [(r.doc_id, r.n_words, r.text) for r in kept.collect()] == [(500, "mine", good)]
+
+
+def dense_verdicts(rows, share=0.5, tail=1e-6, steps=12):
+    """Outliers of one group by plain numpy: median and MAD start, concentration on the nearest half, one reweighting."""
+    x = np.array([[r[c] for c in quality.VECTOR] for r in rows])
+    p, n = x.shape[1], len(x)
+    floor = np.diag(np.array(quality.FLOOR) ** 2)
+
+    def distances(mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
+
+    mean = np.median(x, axis=0)
+    cov = np.diag((1.4826 * np.median(np.abs(x - mean), axis=0)) ** 2)
+    inner, outer = quality._quantile(share, p), quality._quantile(0.975, p)
+    for _ in range(steps):
+        near = np.argsort(distances(mean, cov), kind="stable")[: min(n, int(np.ceil(n * share)) + p + 1)]
+        mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) * share / quality._chi2(inner, p + 2)
+    near = distances(mean, cov) <= outer
+    mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) * 0.975 / quality._chi2(outer, p + 2)
+    return distances(mean, cov), quality._quantile(1 - tail, p)
+
+
+def test_kept_equals_dense_fit(spark, sf_dir):
+    """The query's verdicts against a dense fit of each group of the tables; distances near the limit may fall on either side."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stats = quality.vectors(quality.statistics(docs)).withColumn("failed", quality.base_failed()).collect()
+    found = {r.doc_id: r for r in quality.op3_quality(spark, sf_dir).collect()}
+    passed = [r for r in stats if not r.failed]
+    assert {r.doc_id for r in stats if r.failed} == {i for i, r in found.items() if r.base_failed}
+    groups = {}
+    for r in passed:
+        groups.setdefault(r.lang, {}).setdefault(r.source, []).append(r)
+    checked = 0
+    for own in groups.values():
+        pooled = [r for rows in own.values() for r in rows]
+        for rows in own.values():
+            fitted = rows if len(rows) >= 60 else pooled if len(pooled) >= 60 else passed
+            d2, limit = dense_verdicts(fitted)
+            by = {r.doc_id: d for r, d in zip(fitted, d2)}
+            for r in rows:
+                checked += 1
+                assert found[r.doc_id].kept == (by[r.doc_id] <= limit) or 0.8 < by[r.doc_id] / limit < 1.25
+    assert checked == len(passed) > 100
