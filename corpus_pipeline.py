@@ -1,16 +1,19 @@
-"""The corpus pipeline: toxicity, quality rules, near copies by five-word shingles, best-fit packing.
+"""The corpus pipeline: toxicity, quality rules, SimHash near-dedup by five-word shingles, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of ``documents``. ``run`` writes each stage's rows as Parquet in the shared folder and reads them again.
+
+Defined cases: those of the operators, stage by stage. Null and empty texts fail the quality rules; repeated rows and
+copies end as one; rows with null ids are kept like others; further columns are carried along; without any label no text
+is toxic; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from quire.llm import copies, packing, quality, toxicity
-from quire.llm.common import table
+from quire.llm.common import shared_folder, table
 
 
 def keep_civil(spark, docs, sf_dir):
@@ -24,13 +27,13 @@ def keep_good(spark, docs, sf_dir):
 
 
 def keep_first_copies(spark, docs, sf_dir):
-    """Of each class of texts that a Jaccard similarity of 0.8 of their five-word shingles links, the document with the smallest id."""
+    """Of each class of texts that a Jaccard similarity of 0.8 of their five-word shingles links, the document with the smallest id. Candidates come from the Gray index of fingerprints first."""
     return copies.drop_near_duplicates(docs, shingle=5, least=0.8)
 
 
 def pack_sequences(spark, docs, sf_dir):
     """Every piece of every document with its sequence and offset."""
-    return packing._packed(docs)
+    return packing.packed(docs)
 
 
 STAGES = [("toxicity", keep_civil), ("quality", keep_good), ("near_duplicates", keep_first_copies), ("packing", pack_sequences)]
@@ -41,8 +44,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``; returns the rows of the last. A stage's folder is removed once the next one is written."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-")
-    top = f"{top}/corpus-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{top}/{name}"
