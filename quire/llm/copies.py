@@ -23,6 +23,7 @@ one; an empty table gives an empty one; other columns are kept as they are, what
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -70,6 +71,12 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(part.tobytes(), b) for b, part in enumerate(parts)], np.uint64)
 
 
+def node_of(words: list[bytes]) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(b" ".join(words))
+
+
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """Whether the Jaccard similarity of two sorted sets is at least ``least``."""
     if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
@@ -86,25 +93,37 @@ def _row_key(docs: DataFrame) -> list[Column]:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, k1, k2, node, fp, size, keys, shingles) per row: ``node`` is a hash of the text's words, ``fp`` its fingerprint, ``size`` the number of its shingles."""
-    import xxhash
+    """(id, k1, k2, node, fp, size, keys) per row: ``node`` is a hash of the text's words, ``fp`` its fingerprint, ``size`` the number of its shingles."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, prints, sizes, keys, sets = [], [], [], [], []
+        nodes, prints, sizes, keys = [], [], [], []
         for text in raw(batch.column(3)):
             words = (text or b"").lower().split()
             own = shingle_set(words, shingle)
-            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(words)))
+            nodes.append(node_of(words))
             prints.append(majority(own))
             sizes.append(len(own))
             keys.append(bands(own).view(np.int64) if len(own) else np.zeros(0, np.int64))
-            sets.append(own.tobytes())
         made = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (nodes, prints)]
-        made += [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], ["id", "k1", "k2", "node", "fp", "size", "keys", "shingles"])
+        made += [pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *made], ["id", "k1", "k2", "node", "fp", "size", "keys"])
 
     given = docs.select(F.col(id_col).cast("long").alias("id"), *_row_key(docs), F.col(text_col).alias("text"))
-    return map_arrow(given, rows, "id long, k1 long, k2 long, node long, fp long, size long, keys array<bigint>, shingles binary")
+    return map_arrow(given, rows, "id long, k1 long, k2 long, node long, fp long, size long, keys array<bigint>")
+
+
+def _sets(docs: DataFrame, chosen: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles) of the rows of ``docs`` whose keys are in ``chosen`` (k1, k2). Sets are made again for the few texts that must be compared; keeping those of all would take more room than the texts."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = [(t or b"").lower().split() for t in raw(batch.column(0))]
+        nodes = np.array([node_of(w) for w in words], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([shingle_set(w, shingle).tobytes() for w in words], pa.binary())], ["node", "shingles"])
+
+    keys = chosen.select(F.col("k1").alias("__quire_k1"), F.col("k2").alias("__quire_k2"))
+    marked = docs.select(F.col(text_col).alias("text"), *_row_key(docs))
+    made = map_arrow(marked.join(few(keys), ["__quire_k1", "__quire_k2"], "left_semi").select("text"), rows, "node long, shingles binary")
+    return cut(made.groupBy("node").agg(F.first("shingles").alias("shingles")))  # wholly equal rows share a key
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -157,17 +176,16 @@ def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     return cut(rooted.join(few(spread), "key", "left_semi"))
 
 
-def classes(texts: DataFrame, least: float, max_bits: int = 4) -> DataFrame:
-    """(node, root) for the nodes of checkpointed ``texts`` that link to another; ``root`` is the least node of the class."""
+def classes(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, max_bits: int = 4) -> DataFrame:
+    """(node, root) for the nodes of checkpointed ``texts`` that link to another; ``root`` is the least node of the class. ``sets_of`` gives the shingle sets (node, shingles) of rows (k1, k2)."""
     # Rows of one node have the same fingerprint, keys and shingles, whichever is taken.
     nodes = cut(texts.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("first"), F.min("fp").alias("fp")).select("node", "first.k1", "first.k2", "fp"))
-    single = texts.join(nodes.select("node", "k1", "k2"), ["node", "k1", "k2"], "left_semi")
-    dealt = single.select("node", "size", F.lit(1).alias("place"), F.explode("keys").alias("key"))
+    dealt = texts.select("node", "size", F.lit(1).alias("place"), F.explode("keys").alias("key"))
     many = cut(dealt.groupBy("key").agg(F.min("node").alias("__low"), F.max("node").alias("__high")).where("__low <> __high").select("key"))
     shared = cut(dealt.join(few(many), "key", "left_semi").distinct())
     pairs = cut(print_pairs(nodes.select("node", "fp"), max_bits))
     met = cut(shared.select("node").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
-    sets = cut(single.join(few(met), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    sets = sets_of(cut(nodes.join(few(met), "node", "left_semi").select("k1", "k2")))
     # What two sets can share from these places on must reach their least overlap; at place 1 this compares sizes alone.
     overlap = F.ceil((F.col("size") + F.col("pivot.size")) * (least / (1 + least)) - 1e-9)
     near = F.least(F.col("size") - F.col("place"), F.col("pivot.size") - F.col("pivot.place")) + 1 >= overlap
@@ -200,10 +218,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     texts = cut(_texts(docs, id_col, text_col, shingle))
     rows = texts.groupBy("node", "id", "k1", "k2").agg(F.count("*").alias("n"))
     best = rows.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "k1", "k2", "n")).alias("best"))
-    named = best.join(few(classes(texts, least, max_bits)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = best.join(few(classes(texts, lambda chosen: _sets(docs, chosen, text_col, shingle), least, max_bits)), "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = cut(named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.k1").alias("__quire_k1"), F.col("best.k2").alias("__quire_k2"), F.col("best.n").alias("n")))
     marked, keys = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *_row_key(docs)), ["__quire_k1", "__quire_k2"]
-    out = marked.join(kept.where("n = 1").select(*keys), keys, "left_semi").drop(*keys)
+    out = marked.join(few(cut(kept.where("n = 1").select(*keys))), keys, "left_semi").drop(*keys)
     equal = kept.where("n > 1").select(*keys)
     if equal.isEmpty():
         return out
