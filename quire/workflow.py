@@ -1,6 +1,7 @@
 """The document workflow from end to end: import, translate, polish, review, export, status and the term base.
 
-A state folder holds ``projects`` and ``chapters`` (JSON, a folder per project, replaced whole), and the append-only
+A state folder holds ``projects`` (JSON, a folder per version, of which the newest that was committed counts) and
+``chapters`` (JSON, a folder per project, replaced whole), and the append-only
 tables ``events`` (of terms), ``usage`` and ``log``. Each step reads snapshots, plans with the operators, calls the
 model once per batch, and writes what changed; what is done already is not done again, so a step that was cut off is
 simply run again.
@@ -8,6 +9,8 @@ simply run again.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +30,38 @@ class Workflow:
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
 
-    def _exists(self, name: str) -> bool:
+    def _at(self, name: str):
+        """The file system and path of a table."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, name: str) -> bool:
+        files, path = self._at(name)
+        return files.exists(path)
+
+    def _versions(self, name: str) -> list[str]:
+        """Committed versions of a table that is replaced as a whole, oldest first."""
+        if not self._exists(name):
+            return []
+        files, path = self._at(name)
+        found = sorted(x.getPath().getName() for x in files.listStatus(path) if x.isDirectory())
+        return [f"{name}/{v}" for v in found if self._exists(f"{name}/{v}/_SUCCESS")]
+
+    def _replace(self, name: str, rows: DataFrame) -> None:
+        """Write a new version; earlier ones go once it is committed, so a reader always finds a whole table."""
+        old = self._versions(name)
+        rows.write.json(self._path(f"{name}/{time.time_ns():020d}"))
+        for version in old:
+            files, path = self._at(version)
+            files.delete(path, True)
 
     def _table(self, name: str, schema: str) -> DataFrame:
         """An append-only table; empty before its first row."""
         return self.spark.read.schema(schema).json(self._path(name)) if self._exists(name) else self.spark.createDataFrame([], schema)
 
     def projects(self) -> DataFrame:
-        return self._table("projects", state.PROJECT).where("id is not null")
+        newest = self._versions("projects")[-1:]
+        return self._table(newest[0] if newest else "projects", state.PROJECT).where("id is not null")
 
     def chapters(self, project_id: str) -> DataFrame:
         rows = state.read_chapters(self.spark, self._path("chapters")) if self._exists("chapters") else self.spark.createDataFrame([], state.CHAPTER).withColumn("place", F.lit(0).cast("long"))
@@ -59,7 +84,7 @@ class Workflow:
         fresh = done.select(F.col("project_id").alias("id"), F.col("chapters_completed").alias("__n"), F.col("status").alias("__status"))
         old = self.projects().join(fresh, "id", "left")
         new = old.select("id", "source_file", "source_path", "source_language", F.coalesce("__status", "status").alias("status"), "chapters_total", F.coalesce("__n", "chapters_completed").alias("chapters_completed"), "created_at", F.when(F.col("__n").isNotNull(), rfc3339(F.current_timestamp())).otherwise(F.col("updated_at")).alias("updated_at"))
-        settled(new).write.mode("overwrite").json(self._path("projects"))
+        self._replace("projects", settled(new))
 
     def _nested(self, rows: DataFrame, chapters: DataFrame) -> DataFrame:
         """Chapters with the segments of ``rows`` (chapter_id and STATES) in order."""
@@ -92,7 +117,7 @@ class Workflow:
         fresh = rows.join(new.select(F.col("id").alias("project_id")), "project_id", "left_semi")
         found = fresh.groupBy("project_id", "chapter_id", "chapter_title").agg(own.alias("segments"))
         state.write_chapters(found.select("project_id", F.col("chapter_id").alias("id"), F.col("chapter_title").alias("title"), none.alias("target_title"), F.lit("pending").alias("status"), F.lit("{}").alias("meta"), "segments"), self._path("chapters"))
-        new.write.mode("append").json(self._path("projects"))
+        self._replace("projects", settled(self.projects().unionByName(new.select(self.projects().columns))))
         self.log("initialized", path=path)
         return sorted(r.id for r in projects.select("id").collect())
 
@@ -192,6 +217,6 @@ class Workflow:
         """Remove a project and its chapters; logs and usage stay."""
         state.by_id(self.projects(), project_id)
         kept = settled(self.projects().where(F.col("id") != project_id))
-        kept.write.mode("overwrite").json(self._path("projects"))
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(f"chapters/project_id={project_id}"))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._replace("projects", kept)
+        files, path = self._at(f"chapters/project_id={project_id}")
+        files.delete(path, True)

@@ -11,7 +11,7 @@ from quire.workflow import Workflow
 
 def test_text_book_end_to_end(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "tale.txt").write_text("Chapter 1\nHello, world!\n\nBye.\nChapter 2\nAlice came.\n")
+    (tmp_path / "in" / "tale.txt").write_text("Chapter 1\nHello, world!\n\nBye.\nChapter 2\nMirjam came.\n")
     own = Workflow(spark, str(tmp_path / "state"))
     (project,) = own.add(str(tmp_path / "in"))
     assert own.add(str(tmp_path / "in")) == [project] and own.projects().count() == 1
@@ -21,19 +21,19 @@ def test_text_book_end_to_end(spark, tmp_path):
     assert [(r.translated, r.total) for r in own.status(project).collect()] == [(2, 2), (0, 1)]
     assert own.translate(project) == 0 and own.projects().first().status == "translated"
     text = bytes(own.export(project).first().content).decode()
-    assert text == "[mock title zh-CN] Chapter 1\n\n[mock zh-CN] Hello， world！\n\n[mock zh-CN] Bye.\n\n\n[mock title zh-CN] Chapter 2\n\n[mock zh-CN] Alice came.\n"
+    assert text == "[mock title zh-CN] Chapter 1\n\n[mock zh-CN] Hello， world！\n\n[mock zh-CN] Bye.\n\n\n[mock title zh-CN] Chapter 2\n\n[mock zh-CN] Mirjam came.\n"
     assert own.polish(project) == 0
     assert own.segments(project).where("polish_status = 'succeeded' and target like '[mock polished%'").count() == 3
-    own.record_terms(spark.createDataFrame([("Alice", 0, "insert", "爱丽丝", 1, None), ("Alice", 1, "insert", "艾丽斯", 1, None)], conflicts.EVENT))
+    own.record_terms(spark.createDataFrame([("Mirjam", 0, "insert", "米里", 1, None), ("Mirjam", 1, "insert", "迷铃", 1, None)], conflicts.EVENT))
     assert own.terms().first().status == "conflict"
-    own.resolve("Alice", "艾丽斯")
-    assert own.terms().first().target == "艾丽斯"
+    own.resolve("Mirjam", "迷铃")
+    assert own.terms().first().target == "迷铃"
     _, issues = own.review(project)
     assert [r.issue_type for r in issues.collect()] == ["terminology"]
     args = parser().parse_args(["--state", str(tmp_path / "state"), "export", project, str(tmp_path / "o.epub"), "--format", "epub", "--bilingual"])
     assert run(args, spark) == 0
     book = epub.parse((tmp_path / "o.epub").read_bytes())
-    assert [b["source"] for b in book["chapters"][1]["blocks"]][1:] == ["[mock polished zh-CN] [mock zh-CN] Alice came.", "Alice came."]
+    assert [b["source"] for b in book["chapters"][1]["blocks"]][1:] == ["[mock polished zh-CN] [mock zh-CN] Mirjam came.", "Mirjam came."]
     assert run(parser().parse_args(["--state", str(tmp_path / "state"), "status", project]), spark) == 0
 
 
@@ -53,3 +53,19 @@ def test_archive_book_and_partial_failure(spark, tmp_path):
     (project,) = own.add(str(tmp_path / "in"))
     assert own.segments(project).count() == 4 and own.translate(project) == 1
     assert own.projects().first().status == "translating"
+
+
+def test_failed_save_keeps_the_old_table(spark, tmp_path):
+    """A write that fails midway, or is cut off before its commit, leaves the projects as they were."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "tide.txt").write_text("Chapter 1\nLow water.\n")
+    own = Workflow(spark, str(tmp_path / "state"))
+    (project,) = own.add(str(tmp_path / "in"))
+    before = own.projects().collect()
+    broken = own.projects().selectExpr("*", "raise_error('lost') as x")
+    with pytest.raises(Exception, match="lost"):
+        own._replace("projects", broken)
+    (tmp_path / "state" / "projects" / "99999999999999999999").mkdir()
+    assert own.projects().collect() == before and len(own._versions("projects")) == 1
+    own.delete(project)
+    assert own.projects().count() == 0
