@@ -7,6 +7,7 @@ answer, so that usage can be summed like any fact table.
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
 from typing import Protocol
@@ -15,13 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.structured import tolerant_json
 from quire.functions.text import guessed_language
 
 TRANSLATED, POLISHED, TITLED = "[mock zh-CN] ", "[mock polished zh-CN] ", "[mock title zh-CN] "
 
 
 class Client(Protocol):
-    """Texts of one batch to as many texts, and the tokens used."""
+    """Texts of one batch to as many texts, and the tokens used. A client that sets ``wants_context`` is given the request's context (JSON) as a third argument where there is one."""
 
     def complete(self, task: str, texts: list[str]) -> tuple[list[str], dict[str, int]]: ...
 
@@ -33,6 +35,8 @@ class Mock:
 
     def complete(self, task: str, texts: list[str]) -> tuple[list[str], dict[str, int]]:
         size = sum(map(len, texts))
+        if task == "extract":  # its translations do not hold the wordings that mock_terms gives
+            return ['{"terms": []}' for _ in texts], {"input_tokens": size, "output_tokens": 0}
         return [self.MARKS[task] + t for t in texts], {"input_tokens": size, "output_tokens": size}
 
 
@@ -61,14 +65,43 @@ def mock_language(text: Column) -> Column:
 RESULT = "answers array<string>, error string, attempts int, input_tokens long, output_tokens long"
 
 
-def answered(client: Client, task: str, texts: list[str], retries: int, sleep=time.sleep) -> tuple[list[str] | None, str | None, int, dict[str, int]]:
+def instruction(target_language: str, source_language: str | None = None) -> str:
+    """What a model is told beside the JSON of a request."""
+    origin = f" from {source_language}" if source_language else ""
+    return (
+        f"Translate each entry of segments{origin} into {target_language}. Use the wordings of terms. recent_targets and surrounding_source only help to understand the text; "
+        'never translate or repeat them. Answer with JSON alone, {"translations": [...]}, one text for each segment in their order.'
+    )
+
+
+class Prompted:
+    """A client on top of ``send(instruction, payload)``, any function that reaches a model and gives (answer, usage)."""
+
+    wants_context = True
+
+    def __init__(self, send, target_language: str = "zh-CN", source_language: str | None = None):
+        self.send, self.told = send, instruction(target_language, source_language)
+
+    def complete(self, task: str, texts: list[str], context: str | None = None) -> tuple[list[str], dict[str, int]]:
+        numbered = [{"number": k + 1, "source": t} for k, t in enumerate(texts)]
+        payload = {"task": task, **(json.loads(context) if context else {}), "segments": numbered}
+        raw, usage = self.send(self.told, json.dumps(payload, ensure_ascii=False))
+        if task == "extract":
+            return [raw], usage
+        found = json.loads(tolerant_json(raw) or "null")
+        if not isinstance(found, dict) or list(found) != ["translations"] or not all(isinstance(t, str) for t in found["translations"]):
+            raise ValueError("response does not have the expected fields")
+        return found["translations"], usage
+
+
+def answered(client: Client, task: str, texts: list[str], retries: int, sleep=time.sleep, context: str | None = None) -> tuple[list[str] | None, str | None, int, dict[str, int]]:
     """Call until as many texts come back as went, none blank, at most ``retries`` times more, with growing pauses."""
     error, used = None, {"input_tokens": 0, "output_tokens": 0}
     for attempt in range(retries + 1):
         if attempt:
             sleep(1 << min(attempt - 1, 6))
         try:
-            out, usage = client.complete(task, texts)
+            out, usage = client.complete(task, texts, *([context] if context is not None and getattr(client, "wants_context", False) else []))
             for k in used:
                 used[k] += usage.get(k, 0)
             if len(out) != len(texts):
@@ -82,27 +115,31 @@ def answered(client: Client, task: str, texts: list[str], retries: int, sleep=ti
     return None, error, retries + 1, used
 
 
-def bisected(client: Client, task: str, texts: list[str], retries: int, sleep=time.sleep) -> list[str | None]:
-    """Answers by halving batches that fail, left half first; a single text that fails is None."""
-    out, _, _, _ = answered(client, task, texts, retries, sleep)
+def bisected(client: Client, task: str, texts: list[str], retries: int, sleep=time.sleep, context: str | None = None, total: dict[str, int] | None = None) -> list[str | None]:
+    """Answers by halving batches that fail, left half first; a single text that fails is None. Tokens are added to ``total``."""
+    out, _, _, used = answered(client, task, texts, retries, sleep, context)
+    for k in total if total is not None else ():
+        total[k] += used[k]
     if out is not None:
         return list(out)
     if len(texts) <= 1:
         return [None] * len(texts)
     half = len(texts) // 2
-    return bisected(client, task, texts[:half], retries, sleep) + bisected(client, task, texts[half:], retries, sleep)
+    return bisected(client, task, texts[:half], retries, sleep, context, total) + bisected(client, task, texts[half:], retries, sleep, context, total)
 
 
-def call_model(batches: DataFrame, client: Client, task: str, texts: str = "texts", retries: int = 3) -> DataFrame:
-    """``batches`` with answers, error, attempts and tokens. A failed batch is answered text by text where it can be."""
+def call_model(batches: DataFrame, client: Client, task: str, texts: str = "texts", retries: int = 3, context: str | None = None) -> DataFrame:
+    """``batches`` with answers, error, attempts and the tokens of all calls. A failed batch is halved until what can be answered is. ``context`` names a column of contexts."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for own in frame[texts]:
-                out, error, attempts, used = answered(client, task, list(own), retries)
+            told = [t if isinstance(t, str) else None for t in frame[context]] if context else [None] * len(frame)
+            for own, about in zip(frame[texts], told):
+                out, error, attempts, used = answered(client, task, list(own), retries, context=about)
                 if out is None and len(own) > 1:
-                    out = [(answered(client, task, [t], 0)[0] or [None])[0] for t in own]
+                    half = len(own) // 2
+                    out = [a for part in (own[:half], own[half:]) for a in bisected(client, task, list(part), 0, context=about, total=used)]
                 rows.append((out, error, attempts, used["input_tokens"], used["output_tokens"]))
             yield pd.concat([frame.reset_index(drop=True), pd.DataFrame(rows, columns=["answers", "error", "attempts", "input_tokens", "output_tokens"])], axis=1)
 

@@ -15,8 +15,8 @@ def neighbours(items: DataFrame, keys: list[str], order: str, source: str, most:
     return items.withColumns({"before": F.coalesce(F.right(before, F.lit(most)), F.lit("")), "after": F.coalesce(F.left(after, F.lit(most)), F.lit(""))})
 
 
-def recent(items: DataFrame, book: list[str], order: list[str], value: Column, usable: Column, budget: int) -> DataFrame:
-    """(book, order columns, recent_...): for each segment, the values ahead of it up to the first gap, within ``budget`` characters; the oldest keeps its end only.
+def recent(items: DataFrame, book: list[str], order: list[str], value: Column, usable: Column, budget: int, asked: Column | None = None, name: str | None = None) -> DataFrame:
+    """(book, order columns, recent_...): for each segment (that is ``asked`` for), the values ahead of it up to the first gap, within ``budget`` characters; the oldest keeps its end only. ``name`` is a column of which recent_id tells each value's.
 
     Positions and prefix sums of lengths turn the walk back into a band join on the run between two gaps. The band of a
     segment is at most ``budget`` rows wide where values are not empty.
@@ -24,18 +24,19 @@ def recent(items: DataFrame, book: list[str], order: list[str], value: Column, u
     own = Window.partitionBy(*book).orderBy(*order)
     sofar = own.rowsBetween(Window.unboundedPreceding, 0)
     value = F.when(usable, value)
-    df = items.select(*book, *order, value.alias("value"))
+    more = [] if name is None else [F.col(name).alias("recent_id")]
+    df = items.select(*book, *order, *more, value.alias("value"), F.coalesce(asked if asked is not None else F.lit(True), F.lit(False)).alias("asked"))
     df = df.withColumn("p", F.row_number().over(own)).withColumn("gap", F.col("value").isNull().cast("int"))
     df = df.withColumn("g", F.sum("gap").over(sofar)).withColumn("cs", F.sum(F.coalesce(F.length("value"), F.lit(0))).over(sofar))
     # The run that a segment looks back on, and the characters up to it. What it can reach ends in the same stretch of
     # ``budget`` characters or the one before, so the join is on stretches, not on whole runs.
     stretch = lambda c: F.floor(F.col(c) / max(1, budget)).cast("long")
-    ahead = df.select(*book, *order, "p", (F.col("g") - F.col("gap")).alias("run"), (F.col("cs") - F.coalesce(F.length("value"), F.lit(0))).alias("upto"))
+    ahead = df.where("asked").select(*book, *order, "p", (F.col("g") - F.col("gap")).alias("run"), (F.col("cs") - F.coalesce(F.length("value"), F.lit(0))).alias("upto"))
     ahead = ahead.withColumn("stretch", F.explode(F.array(stretch("upto"), stretch("upto") - 1)))
-    past = df.where("gap = 0").select(*book, F.col("g").alias("run"), F.col("p").alias("recent_p"), "cs", "value", stretch("cs").alias("stretch"))
+    past = df.where("gap = 0").select(*book, *(["recent_id"] if more else []), F.col("g").alias("run"), F.col("p").alias("recent_p"), "cs", "value", stretch("cs").alias("stretch"))
     left = F.lit(budget) - (F.col("upto") - F.col("cs"))
     found = ahead.join(past, [*book, "run", "stretch"]).where((F.col("recent_p") < F.col("p")) & (F.col("upto") - F.col("cs") < budget))
-    return found.select(*book, *order, "p", "recent_p", F.right(F.col("value"), left).alias("recent"))
+    return found.select(*book, *order, "p", "recent_p", *(["recent_id"] if more else []), F.right(F.col("value"), left).alias("recent"))
 
 
 def sampled(docs: DataFrame, text: str, size: int, count: int) -> DataFrame:

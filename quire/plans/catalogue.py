@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import registry, state_queries, term_queries, text_queries  # noqa: F401 - importing registers the queries
+from quire.plans import prompt_queries, registry, state_queries, term_queries, text_queries  # noqa: F401 - importing registers the queries
 
 
 def queries():

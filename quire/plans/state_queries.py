@@ -21,16 +21,18 @@ def progress_by_chapter(spark, sf_dir):
 
 @query(
     f"""with {DIALOGUE}, heads as (select distinct book, chapter, chapter % 2 = 0 as titled from dialogue union all select distinct book, -1 - book, true from dialogue),
-done as (select chapter, bool_and({DONE} or ordinal <> 1) as d from dialogue where ordinal = 1 group by 1),
+done as (select chapter, bool_and({DONE} or chapter % 3 = 0 or book % 2 = 0) as d from dialogue group by 1),
 joined as (select h.book, coalesce(d.d, true) as is_complete, titled from heads h left join done d using (chapter))
 select book::bigint as book, count(*) filter (is_complete) as chapters_completed, count(*) as chapters_total, case when count(*) = count(*) filter (is_complete) and bool_and(titled) then 'translated' else 'translating' end as status from joined group by 1"""
 )
 def project_progress(spark, sf_dir):
-    """Only second turns count as segments here, so that some chapters have none: those are complete."""
+    """Every third chapter and every second book counts as translated; each book has one more chapter without segments, which is complete."""
     rows = dialogue(spark, sf_dir)
+    whole = (F.col("chapter") % 3 == 0) | (F.col("book") % 2 == 0)
+    rows = rows.withColumns({"target": F.when(whole, F.col("source")).otherwise(F.col("target")), "status": F.when(whole, "translated").otherwise(F.col("status"))})
     heads = rows.select("book", "chapter", F.when(F.col("chapter") % 2 == 0, "t").alias("target_title")).distinct()
     heads = heads.unionByName(rows.select("book").distinct().select("book", (-1 - F.col("book")).alias("chapter"), F.lit("t").alias("target_title")))
-    return progress.project_progress(progress.chapter_status(heads, rows.where("ordinal = 1"), ["book", "chapter"]), ["book"])
+    return progress.project_progress(progress.chapter_status(heads, rows, ["book", "chapter"]), ["book"])
 
 
 @query("select user_id, count(*) filter (event_type in ('view', 'click')) as pending, count(*) filter (event_type = 'purchase') as succeeded, count(*) filter (event_type = 'error') as failed, count(*) as total from events group by 1")
@@ -179,12 +181,13 @@ def review_untranslated(spark, sf_dir):
     return found.select("chapter", "segment_id", "severity", issue_id(F.col("chapter_id"), F.col("segment_id"), F.col("issue_type")).alias("issue"))
 
 
-WANTED = "wanted as (select source, target from glossary where lang = 'en' and rank < 20)"
+WANTED = "wanted as (select distinct source, target from glossary)"
 
 
 @query(f"with {DIALOGUE}, {GLOSSARY}, {WANTED} select d.id as segment_id, w.target as wanted from dialogue d join wanted w on contains(d.source, w.source) and not contains(coalesce(d.target, ''), w.target)")
 def review_terminology(spark, sf_dir):
-    own = glossary(spark, sf_dir).where("lang = 'en' and rank < 20").select("source", "target")
+    """All terms of all languages against all dialogue."""
+    own = glossary(spark, sf_dir).select("source", "target").distinct()
     found = review.terminology(dialogue(spark, sf_dir).drop("book"), own, [])
     return found.select("segment_id", F.substring("summary", 7, 1000).alias("wanted"))
 
@@ -200,7 +203,8 @@ select book::bigint as book, chapters, segments, incomplete_chapters, coalesce(i
 )
 def review_summary(spark, sf_dir):
     rows = dialogue(spark, sf_dir)
-    own = glossary(spark, sf_dir).where("lang = 'en' and rank < 20").select("source", "target")
-    books = rows.select("book").distinct().crossJoin(F.broadcast(own))  # twenty rows
-    found = review.untranslated(rows, ["book"]).unionByName(review.terminology(rows, books, ["book"]))
+    own = glossary(spark, sf_dir).select("source", "target").distinct()
+    by_book = rows.select("chapter_id", "id", "book").withColumnRenamed("id", "segment_id")
+    unused = review.terminology(rows.drop("book"), own, []).join(by_book, ["chapter_id", "segment_id"])
+    found = review.untranslated(rows, ["book"]).unionByName(unused)
     return review.summary(rows, review.report(found, ["book"]), ["book"])

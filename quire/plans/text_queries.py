@@ -68,7 +68,7 @@ def chapter_headings(spark, sf_dir):
     return _lines(spark, sf_dir).select("doc_id", "pos", text.strip("line").alias("heading")).where(text.is_heading("heading") & (F.col("heading") != ""))
 
 
-def _packing_sql(rows: str, keys: str, order: str, size: str, budget: int, final: str) -> str:
+def packing_sql(rows: str, keys: str, order: str, size: str, budget: int, final: str) -> str:
     """Greedy packing as a recursion over places, all chapters at once."""
     joined = " and ".join(f"p.{k} = n.{k}" for k in keys.split(", "))
     return f"""with recursive {rows},
@@ -80,7 +80,7 @@ packed as (select *, 0 as batch, size::bigint as chars from numbered where place
 {final}"""
 
 
-PACKED_LINES = _packing_sql(
+PACKED_LINES = packing_sql(
     f"{LINES}, items as (select doc_id, pos, line from lines)",
     "doc_id",
     "pos",
@@ -97,7 +97,7 @@ def pack_batches(spark, sf_dir):
 
 
 @query(
-    _packing_sql(
+    packing_sql(
         f"{DIALOGUE}, items as (select * from dialogue)",
         "chapter",
         "ordinal",
@@ -112,7 +112,7 @@ def plan_untranslated(spark, sf_dir):
 
 
 @query(
-    _packing_sql(
+    packing_sql(
         f"{DIALOGUE}, items as (select * from dialogue where not protected and trim(coalesce(draft, '')) <> '')",
         "book, chapter",
         "ordinal",
@@ -152,7 +152,7 @@ TITLES = """titles as (select book, chapter, chapter_id as title, bool_and(statu
 
 
 @query(
-    _packing_sql(
+    packing_sql(
         f"{DIALOGUE}, {TITLES.replace('chapter % 3 = 0 as titled from dialogue group by all', 'chapter % 3 = 0 as titled from dialogue group by book, chapter, chapter_id')}, items as (select * from titles)",
         "book",
         "chapter",
