@@ -1,8 +1,9 @@
-"""Command line: init, transit, polish, review, export, status, terms. Exit codes: 0 done, 1 error, 2 done in part."""
+"""Command line: init, transit, polish, extract, retranslate, review, export, status, segment, terms, unlock. Exit codes: 0 done, 1 error, 2 done in part."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -17,8 +18,18 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--config", help="TOML file of options")
     to = top.add_subparsers(dest="command", required=True)
     to.add_parser("init").add_argument("path")
-    for name in ("transit", "polish", "review", "status"):
+    for name in ("transit", "polish", "review", "status", "extract", "retranslate", "unlock", "segment"):
         to.add_parser(name).add_argument("project")
+    to.choices["retranslate"].add_argument("term", help="whose titles and segments are translated anew")
+    one = to.choices["segment"]
+    one.add_argument("id")
+    one.add_argument("--revision", type=int, help="the revision that an edit is based on")
+    one.add_argument("--expected", help="the text that an edit is based on")
+    edit = one.add_mutually_exclusive_group()
+    edit.add_argument("--target")
+    edit.add_argument("--restore", type=int)
+    edit.add_argument("--adopt")
+    edit.add_argument("--preview", action="store_true")
     to.choices["transit"].add_argument("--chapter", type=int)
     out = to.add_parser("export")
     out.add_argument("project")
@@ -55,6 +66,20 @@ def run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "status":
         for r in own.status(args.project).toLocalIterator():
             print(f"{r.translated}/{r.total}\t{r.title}")
+    elif args.command == "extract":
+        print(f"{own.extract(args.project)} terms")
+    elif args.command == "retranslate":
+        return 2 if own.retranslate(args.project, args.term) else 0
+    elif args.command == "unlock":
+        own.unlock(args.project)
+    elif args.command == "segment":
+        if args.preview:
+            found = own.preview(args.project, args.id)
+        elif (args.target, args.restore, args.adopt) != (None, None, None):
+            found = own.save(args.project, args.id, args.revision, args.expected, args.target, args.restore, args.adopt)
+        else:
+            found = own.detail(args.project, args.id)
+        print(json.dumps(found, ensure_ascii=False, indent=1))
     elif args.command == "export":
         with open(args.output, "wb") as f:
             f.write(bytes(own.export(args.project, args.bilingual, args.source_first, args.format).first().content))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from quire.functions.text import is_blank, strip
 
@@ -111,6 +115,63 @@ def fold_writes(writes: DataFrame) -> DataFrame:
     return writes.groupBy("segment_id").applyInPandas(run, STATE)
 
 
+REWRITTEN = StructType([StructField(c, BooleanType() if c == "changed" else StringType()) for c in ("target", "draft", "polish_status", "meta", "changed", "error")])
+#: Keys of a segment's metadata that are fixed by the format of project files.
+HISTORY, HAND, BEFORE, PREVIEW, FAILED = "translation_revisions", "translation_protected", "previous_target", "retranslation_preview", "retranslation_error"
+
+
+def held(meta: str | None) -> dict:
+    """Metadata as a dict; what is no object counts as empty."""
+    try:
+        found = json.loads(meta or "{}")
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def versions(target: str | None, draft: str | None, meta: dict) -> list[dict]:
+    """The revisions of a segment, oldest first; of one without a history, the different texts that it still has (``legacy_history`` for one row)."""
+    if HISTORY in meta:
+        return list(meta[HISTORY])
+    texts = {}
+    for text, kind in ((meta.get(BEFORE), "legacy_previous"), (draft, "legacy_draft"), (target, "legacy")):
+        if isinstance(text, str) and text.strip() and (text != target or kind == "legacy"):
+            texts.setdefault(text, kind)
+    return [{"id": k + 1, "target": text, "kind": kind, "model": None} for k, (text, kind) in enumerate(texts.items())]
+
+
+def rewrite(target: str | None, draft: str | None, polish_status: str | None, meta: str | None, new: str | None, kind: str, model: str | None = None) -> dict:
+    """One write to a segment that keeps its history in its metadata (REWRITTEN). A refused write leaves all as it was but for the error."""
+    own = held(meta)
+    segment = Segment("")
+    segment.target, segment.draft, segment.polish, segment.protected = target, draft, polish_status, own.get(HAND) is True
+    segment.revisions = versions(target, draft, own)
+    changed = segment.write(new, kind, model)
+    if changed:
+        segment.revisions[-1]["created_at"] = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+        own |= {HISTORY: segment.revisions} | ({} if target is None else {BEFORE: target}) | ({HAND: True} if segment.protected else {})
+        own.pop(PREVIEW, None)
+        own.pop(FAILED, None)
+        if kind == "retranslation":  # the new text is a draft that is to be polished
+            segment.draft, segment.polish = new, "pending"
+    error = segment.errors[0] if segment.errors else None
+    return {"target": segment.target, "draft": segment.draft, "polish_status": segment.polish, "meta": json.dumps(own, ensure_ascii=False) if changed else meta, "changed": changed, "error": error}
+
+
+@F.pandas_udf(REWRITTEN)
+def rewritten(target: pd.Series, draft: pd.Series, polish_status: pd.Series, meta: pd.Series, new: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    """``rewrite`` of columns. Rows whose ``kind`` is null stay as they are; those whose ``new`` is null keep their text and are marked as failed."""
+    rows = []
+    for old, own, state, about, text, what in zip(*[c.where(c.notna(), None) for c in (target, draft, polish_status, meta, new, kind)]):
+        row = {"target": old, "draft": own, "polish_status": state, "meta": about, "changed": False, "error": None}
+        if what is not None:
+            row = row | {"error": "no answer"} if text is None else rewrite(old, own, state, about, text, what)
+            if row["error"]:
+                row["meta"] = json.dumps(held(about) | {FAILED: row["error"]}, ensure_ascii=False)
+        rows.append(row)
+    return pd.DataFrame(rows, columns=["target", "draft", "polish_status", "meta", "changed", "error"])
+
+
 def normalized_polish(protected: Column, target: Column, draft: Column, status: Column, polish_status: Column) -> Column:
     """struct<target, status, polish_status> of segments of an older project."""
     touched = ~F.coalesce(protected, F.lit(False)) & ~is_blank(draft)

@@ -4,19 +4,23 @@ A state folder holds ``projects`` (JSON, a folder per version, of which the newe
 ``chapters`` (JSON, a folder per project, replaced whole), and the append-only
 tables ``events`` (of terms), ``usage`` and ``log``. Each step reads snapshots, plans with the operators, calls the
 model once per batch, and writes what changed; what is done already is not done again, so a step that was cut off is
-simply run again.
+simply run again. A step that writes holds its project's lock, a file that only one of two runs can make; ``unlock``
+removes one that a lost run left behind.
 """
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.hashing import rfc3339, run_id
 from quire.model import Client, Mock, call_model
-from quire.operators import conflicts, export, packing, progress, review, revisions, segment
+from quire.operators import analysis, conflicts, export, packing, progress, prompts, review, revisions, segment, terms
 from quire.operators.common import settled
 from quire.sources import epub, state, text
 
@@ -74,6 +78,21 @@ class Workflow:
         row = self.spark.range(1).select(F.concat_ws("\t", rfc3339(F.current_timestamp()), F.lit(event), F.to_json(F.create_map(*[F.lit(str(x)) for kv in details.items() for x in kv]) if details else F.expr("named_struct()"))).alias("value"))
         row.coalesce(1).write.mode("append").text(self._path("log"))
 
+    @contextmanager
+    def _locked(self, project_id: str):
+        """Only one run at a time writes a project; raises where another one does."""
+        files, path = self._at(f"locks/{project_id}")
+        if not files.createNewFile(path):
+            raise ValueError(f"project {project_id} is in use")
+        try:
+            yield
+        finally:
+            files.delete(path, False)
+
+    def unlock(self, project_id: str) -> None:
+        files, path = self._at(f"locks/{project_id}")
+        files.delete(path, False)
+
     def _save(self, project_id: str, chapters: DataFrame) -> None:
         """Replace a project's chapters, which may have been read from there, and its progress."""
         chapters = settled(chapters.select("project_id", "id", "title", "target_title", "status", "meta", "segments"))
@@ -123,7 +142,8 @@ class Workflow:
 
     def _answers(self, batches: DataFrame, task: str, ids: str, texts: str) -> DataFrame:
         """(id, answer) for the items of batches; usage is appended on the way."""
-        found = settled(call_model(batches.select(ids, texts), self.client, task, texts, self.options.max_retries))
+        about = [c for c in ("context",) if c in batches.columns]
+        found = settled(call_model(batches.select(ids, texts, *about), self.client, task, texts, self.options.max_retries, *about))
         usage = found.agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")).select(F.lit(task).alias("stage"), "input_tokens", "output_tokens", rfc3339(F.current_timestamp()).alias("recorded_at"))
         usage.write.mode("append").json(self._path("usage"))
         return found.select(F.explode(F.arrays_zip(F.col(ids).alias("id"), F.col("answers").alias("answer"))).alias("x")).select("x.id", "x.answer").where("answer is not null")
@@ -135,13 +155,28 @@ class Workflow:
         own = F.sort_array(F.collect_list(F.struct("ordinal", "id", "value")))
         return packed.groupBy("chapter_id", "batch").agg(F.transform(own, lambda x: x["id"]).alias("ids"), F.transform(own, lambda x: x["value"]).alias("texts"))
 
+    def _told(self, rows: DataFrame, batches: DataFrame) -> DataFrame:
+        """Batches with their contexts, for clients that want them."""
+        if not getattr(self.client, "wants_context", False):
+            return batches
+        batches = settled(batches)
+        at = batches.select("batch", F.explode("ids").alias("id"))
+        own = self.terms().where("not deleted").select("source", "target", F.array().cast("array<string>").alias("aliases"), "policy")
+        marked = rows.join(at, "id", "left").withColumn("book", F.lit("own"))
+        found = prompts.contexts(marked, ["book"], ["place", "chapter_id"], "ordinal", settled(own), budget=self.options.recent_context_chars, source_language=F.lit(self.options.source_language).cast("string"))
+        return batches.join(found.select("chapter_id", "batch", "context"), ["chapter_id", "batch"], "left")
+
     def translate(self, project_id: str, chapter: int | None = None) -> int:
         """Translate what is open, then titles of finished chapters; returns how many segments still lack a translation."""
+        with self._locked(project_id):
+            return self._translate(project_id, chapter)
+
+    def _translate(self, project_id: str, chapter: int | None) -> int:
         chapters = self.chapters(project_id)
         rows = self.segments(project_id)
         open_ = revisions.open_segment("target", "target_before_polish")
         wanted = rows if chapter is None else rows.where(F.col("place") == chapter + 1)
-        answers = self._answers(self._batched(wanted, open_, "source", True), "translate", "ids", "texts")
+        answers = self._answers(self._told(rows, self._batched(wanted, open_, "source", True)), "translate", "ids", "texts")
         joined = rows.join(answers, "id", "left")
         done = joined.withColumns({"target": F.coalesce("answer", "target"), "target_before_polish": F.coalesce("answer", "target_before_polish"), "status": F.when(F.col("answer").isNotNull(), "translated").otherwise(F.col("status"))})
         nested = settled(self._nested(done.select("chapter_id", *STATES), chapters))
@@ -156,6 +191,10 @@ class Workflow:
 
     def polish(self, project_id: str) -> int:
         """Polish frozen drafts that are eligible; returns how many segments failed."""
+        with self._locked(project_id):
+            return self._polish(project_id)
+
+    def _polish(self, project_id: str) -> int:
         rows, chapters = self.segments(project_id), self.chapters(project_id)
         fit = revisions.polish_eligible(revisions.is_protected("meta"), F.col("polish_status"), F.col("target_before_polish"))
         batches = settled(self._batched(rows, fit, "target_before_polish", False))
@@ -167,6 +206,126 @@ class Workflow:
         self._save(project_id, self._nested(new.select("chapter_id", *STATES), chapters))
         return self.segments(project_id).where("polish_status = 'failed'").count()
 
+    def _synced(self, rows: DataFrame, chapters: DataFrame, new: DataFrame) -> DataFrame:
+        """(chapter_id, __title): titles of chapters whose heading was rewritten (ids of ``new``), and only those."""
+        named = chapters.select(F.col("id").alias("chapter_id"), "title", "target_title")
+        heads = rows.where("kind = 'heading'").join(new.select("id"), "id", "left_semi")
+        same = revisions.synced_headings(heads.select("chapter_id", "id", "kind", "source"), named, ["chapter_id"]).select("chapter_id", "id")
+        return same.join(rows.select("id", F.col("target").alias("__title")), "id").groupBy("chapter_id").agg(F.min_by("__title", "id").alias("__title"))
+
+    def _store(self, project_id: str, rows: DataFrame, chapters: DataFrame, new: DataFrame) -> None:
+        """Save rewritten segments; titles follow the headings among ``new`` (id)."""
+        titles = self._synced(rows, chapters, new).withColumnRenamed("chapter_id", "id")
+        named = chapters.join(titles, "id", "left").withColumn("target_title", F.coalesce("__title", "target_title")).drop("__title")
+        self._save(project_id, self._nested(rows.select("chapter_id", *STATES), named))
+
+    def retranslate(self, project_id: str, source: str) -> int:
+        """Translate anew every title and segment that the term ``source`` occurs in; returns how many failed.
+
+        The old text stays in the history, and where a call fails or a hand has edited, it stays as it is and the error
+        is noted. A heading follows its chapter's title, and the title its heading.
+        """
+        with self._locked(project_id):
+            rows, chapters = settled(self.segments(project_id)), self.chapters(project_id)
+            term = self.spark.createDataFrame([(project_id, source)], "project_id string, source string")
+            titles = chapters.select("project_id", F.col("id").alias("chapter_id"), "title", "target_title")
+            hit = settled(terms.impact(titles, rows, ["project_id"], term).select("id", "chapter_id", "kind").distinct())
+            body = hit.where("kind <> 'title'").select("id", F.lit(True).alias("__hit"))
+            marked = rows.join(body, "id", "left").withColumn("__hit", F.coalesce("__hit", F.lit(False)))
+            batches = self._told(rows, self._batched(marked, F.col("__hit"), "source", False))
+            answers = self._answers(batches, "translate", "ids", "texts").select("id", F.col("answer").alias("__new"))
+            heads = chapters.select("id", F.col("title").alias("source"), F.col("place").alias("ordinal"), F.lit("titles").alias("chapter_id")).join(hit.where("kind = 'title'").select(F.col("chapter_id").alias("id")), "id", "left_semi")
+            named = settled(self._answers(self._batched(heads, F.lit(True), "source", False), "title", "ids", "texts")).select(F.col("id").alias("chapter_id"), F.col("answer").alias("target_title"))
+            follow = revisions.synced_headings(rows.select("chapter_id", "id", "kind", "source"), titles.drop("target_title").join(named, "chapter_id"), ["chapter_id"]).select("id", F.col("target").alias("__follow"))
+            asked = marked.join(answers, "id", "left").join(follow, "id", "left")
+            kind = F.when(F.col("__hit") | F.col("__follow").isNotNull(), "retranslation")
+            done = asked.withColumn("__x", revisions.rewritten("target", "target_before_polish", "polish_status", "meta", F.coalesce("__follow", "__new"), kind))
+            done = settled(done.withColumns({"target": F.col("__x.target"), "target_before_polish": F.col("__x.draft"), "polish_status": F.col("__x.polish_status"), "meta": F.col("__x.meta"), "status": F.when(F.col("__x.changed"), "translated").otherwise(F.col("status"))}))
+            fresh = chapters.join(named.select(F.col("chapter_id").alias("id"), F.col("target_title").alias("__new_title")), "id", "left").withColumn("target_title", F.coalesce("__new_title", "target_title")).drop("__new_title")
+            failed = done.where("__x.error is not null").count() + heads.join(named, F.col("id") == named["chapter_id"], "left_anti").count()
+            self._store(project_id, done, fresh, done.where("__x.changed and __follow is null"))
+        self.log("retranslated", project=project_id, term=source, failed=str(failed))
+        return failed
+
+    def detail(self, project_id: str, segment_id: str) -> dict:
+        """A segment with its revisions, the number of the current one, and the suggestion that was made last."""
+        found = self.segments(project_id).where(F.col("id") == segment_id).first()
+        if found is None:
+            raise ValueError(f"no segment {segment_id}")
+        meta = revisions.held(found.meta)
+        history = revisions.versions(found.target, found.target_before_polish, meta)
+        return {"segment": found.asDict(True), "revisions": history, "revision": history[-1]["id"] if history else 0, "preview": meta.get(revisions.PREVIEW)}
+
+    def _checked(self, project_id: str, segment_id: str, revision: int, target: str | None) -> dict:
+        own = self.detail(project_id, segment_id)
+        if (own["revision"], own["segment"]["target"]) != (revision, target):
+            raise ValueError("the translation was changed meanwhile")
+        return own
+
+    def save(self, project_id: str, segment_id: str, revision: int, expected: str | None, target: str | None = None, restore: int | None = None, adopt: str | None = None) -> dict:
+        """Edit one segment by hand: a text, a revision to go back to, or a suggestion (by id). Raises unless ``revision`` and ``expected`` are the current ones; returns the new detail."""
+        with self._locked(project_id):
+            own = self._checked(project_id, segment_id, revision, expected)
+            kind, model = "manual", None
+            if restore is not None:
+                kind, target = "restore", next((r["target"] for r in own["revisions"] if r["id"] == restore), None)
+                if target is None:
+                    raise ValueError(f"no revision {restore}")
+            elif adopt is not None:
+                seen = own["preview"]
+                if not seen or seen["id"] != adopt or (seen["base_revision"], seen["base_target"]) != (revision, expected):
+                    raise ValueError("the suggestion is gone or was replaced")
+                kind, target, model = "adopt", seen["target"], seen.get("model")
+            old = own["segment"]
+            new = revisions.rewrite(old["target"], old["target_before_polish"], old["polish_status"], old["meta"], target, kind, model)
+            if new["error"]:
+                raise ValueError(new["error"])
+            if not new["changed"]:
+                return own
+            self._put(project_id, segment_id, {"target": new["target"], "target_before_polish": new["draft"], "polish_status": new["polish_status"], "meta": new["meta"], "status": "translated"})
+        self.log("translation_edited", project=project_id, segment=segment_id, kind=kind)
+        return self.detail(project_id, segment_id)
+
+    def _put(self, project_id: str, segment_id: str, values: dict[str, str | None]) -> None:
+        """Set columns of one segment."""
+        here = F.col("id") == segment_id
+        rows = self.segments(project_id).withColumns({c: F.when(here, F.lit(v).cast("string")).otherwise(F.col(c)) for c, v in values.items()})
+        changed = rows.where(here) if "target" in values else rows.limit(0)
+        self._store(project_id, rows, self.chapters(project_id), changed)
+
+    def preview(self, project_id: str, segment_id: str) -> dict:
+        """Ask for another translation of one segment and keep it as a suggestion, which ``save`` adopts; returns the new detail."""
+        with self._locked(project_id):
+            own = self.detail(project_id, segment_id)
+            if own["segment"]["target"] is None:
+                raise ValueError("the segment is not translated")
+            rows = self.segments(project_id)
+            batches = self._told(rows, self._batched(rows.where(F.col("id") == segment_id), F.lit(True), "source", False))
+            answer = self._answers(batches, "translate", "ids", "texts").first()
+            if answer is None:
+                raise ValueError("the model gave no answer")
+            seen = {"id": uuid.uuid4().hex, "target": answer.answer, "base_revision": own["revision"], "base_target": own["segment"]["target"], "model": None}
+            meta = revisions.held(own["segment"]["meta"]) | {revisions.PREVIEW: seen}
+            self._put(project_id, segment_id, {"meta": json.dumps(meta, ensure_ascii=False)})
+        return self.detail(project_id, segment_id)
+
+    def extract(self, project_id: str) -> int:
+        """Extract terms from the translated segments of each batch, unless just these were looked at before, and record them as term events; returns how many were found."""
+        with self._locked(project_id):
+            pairs = self.segments(project_id).withColumn("both", F.to_json(F.struct("source", "target")))
+            batches = self._batched(pairs, revisions.complete(), "both", True).withColumn("batch_key", F.array_join("ids", "|"))
+            seen = self._table("extracted", "project_id string, chapter_id string, batch_key string").where(F.col("project_id") == project_id)
+            left = batches.join(seen, ["chapter_id", "batch_key"], "left_anti")
+            side = lambda name: F.array_join(F.transform("texts", lambda t: F.get_json_object(t, f"$.{name}")), "\n").alias(f"{name}_text")
+            left = settled(left.select("chapter_id", "batch_key", side("source"), side("target")))
+            place = self.chapters(project_id).select(F.col("id").alias("chapter_id"), "place")
+            last = self._table("events", conflicts.EVENT).agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
+            found = analysis.extractions(left, self.client, ["chapter_id", "batch_key"], self.options.max_retries).join(place, "chapter_id").orderBy("place", "batch_key", "source")
+            events = settled(analysis.as_events(found, F.lit(last + 1) + F.monotonically_increasing_id(), F.col("place") - 1))
+            self.record_terms(events)
+            left.select(F.lit(project_id).alias("project_id"), "chapter_id", "batch_key").write.mode("append").json(self._path("extracted"))
+            return events.count()
+
     def terms(self) -> DataFrame:
         """The term base after all its events."""
         return conflicts.fold_terms(self._table("events", conflicts.EVENT))
@@ -216,6 +375,10 @@ class Workflow:
     def delete(self, project_id: str) -> None:
         """Remove a project and its chapters; logs and usage stay."""
         state.by_id(self.projects(), project_id)
+        with self._locked(project_id):
+            self._delete(project_id)
+
+    def _delete(self, project_id: str) -> None:
         kept = settled(self.projects().where(F.col("id") != project_id))
         self._replace("projects", kept)
         files, path = self._at(f"chapters/project_id={project_id}")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -266,3 +267,36 @@ def test_model_calls(spark):
     rows = spark.createDataFrame([(1, ["x", "y"])], "id int, texts array<string>")
     found = model.call_model(rows, model.Mock(), "translate").first()
     assert list(found.answers) == ["[mock zh-CN] x", "[mock zh-CN] y"] and found.input_tokens == 2
+
+
+def test_failed_batches_are_halved_and_counted(spark):
+    from quire import model
+
+    class Strict(model.Mock):
+        """Refuses batches that hold "bad", after it has used tokens on none."""
+
+        def complete(self, task, texts):
+            if "bad" in texts:
+                raise ValueError("refused")
+            return super().complete(task, texts)
+
+    rows = spark.createDataFrame([(1, ["aa", "bad", "c", "dd"]), (2, [])], "id int, texts array<string>")
+    found = {r.id: r for r in model.call_model(rows, Strict(), "translate", retries=0).collect()}
+    assert list(found[1].answers) == ["[mock zh-CN] aa", None, "[mock zh-CN] c", "[mock zh-CN] dd"] and found[1].input_tokens == 5
+    assert list(found[2].answers) == []
+
+
+def test_contexts(spark):
+    """Terms, neighbours and earlier translations up to the first gap; batches without them have empty arrays."""
+    from quire.operators import prompts
+
+    rows = spark.createDataFrame(
+        [("b", 1, 0, "s0", "Cold harbour", "T0", "translated", None), ("b", 1, 1, "s1", "the Gull cried", None, "pending", 0), ("b", 1, 2, "s2", "alone", None, "pending", 1), ("b", 2, 0, "s3", "far", None, "pending", 0)],
+        "book string, chapter int, ordinal int, id string, source string, target string, status string, batch int",
+    )
+    own = spark.createDataFrame([("gull", "鸥", [], "fixed"), ("cried", "叫", [], "ignored"), ("far", None, None, None)], "source string, target string, aliases array<string>, policy string")
+    found = {(r.chapter, r.batch): json.loads(r.context) for r in prompts.contexts(rows, ["book"], ["chapter"], "ordinal", own, style=F.lit("x")).collect()}
+    assert found[1, 0] == {"style": "x", "terms": [{"source": "gull", "target": "鸥"}], "recent_targets": [{"segment_id": "s0", "target": "T0"}], "surrounding_source": {"before": "Cold harbour", "after": "alone"}}
+    assert found[1, 1] == {"style": "x", "terms": [], "recent_targets": [], "surrounding_source": {"before": "the Gull cried", "after": ""}}
+    assert found[2, 0] == {"style": "x", "terms": [{"source": "far"}], "recent_targets": []}
+    assert prompts.contexts(rows.where("false"), ["book"], ["chapter"], "ordinal", own).count() == 0

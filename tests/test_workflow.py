@@ -1,9 +1,11 @@
+import json
+
 import pytest
 from test_sources import make_book
 
 from quire.__main__ import parser, run
-from quire.model import Mock
-from quire.operators import conflicts
+from quire.model import Mock, Prompted
+from quire.operators import conflicts, revisions
 from quire.sources import epub
 from quire.sources.state import Options
 from quire.workflow import Workflow
@@ -69,3 +71,77 @@ def test_failed_save_keeps_the_old_table(spark, tmp_path):
     assert own.projects().collect() == before and len(own._versions("projects")) == 1
     own.delete(project)
     assert own.projects().count() == 0
+
+
+def teller(mark="v1"):
+    """A client that answers with what it was told: the number of its terms, the last earlier translation, and its neighbours."""
+
+    def send(told, payload):
+        own = json.loads(payload)
+        if own["task"] == "extract":
+            return json.dumps({"terms": [{"source": "heron", "target": "鹭", "type": "term"}]}), {}
+        if any("refuse" in s["source"] for s in own["segments"]) and mark != "v1":
+            raise ValueError("refused")
+        about = f"{len(own.get('terms', []))}{mark}" + "".join(r["target"][-1:] for r in own.get("recent_targets", []))
+        return "Sure:\n" + json.dumps({"translations": [f"{about} {s['source']} 鹭" for s in own["segments"]]}), {"input_tokens": 1}
+
+    return Prompted(send)
+
+
+def test_retranslation_and_edits(spark, tmp_path):
+    """Contexts reach the client; a term's contents are translated anew, failures and edits by hand stay; edits are checked."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "pond.txt").write_text("Chapter 1\nThe heron slept.\n\nNobody came.\nChapter 2\nA heron, refuse me.\nChapter heron\nHis heron left.\n")
+    options = Options(max_retries=0, max_batch_chars=20)
+    own = Workflow(spark, str(tmp_path / "state"), teller(), options)
+    (project,) = own.add(str(tmp_path / "in"))
+    assert own.translate(project) == 0
+    rows = {r.source: r for r in own.segments(project).collect()}
+    assert rows["The heron slept."].target == "0v1 The heron slept. 鹭"
+    assert own.extract(project) >= 3 and own.extract(project) == 0
+    assert [(r.source, r.target) for r in own.terms().collect()] == [("heron", "鹭")]
+    held = own.detail(project, rows["His heron left."].id)
+    assert held["revision"] == 1 and [r["kind"] for r in held["revisions"]] == ["legacy"]
+    with pytest.raises(ValueError, match="changed meanwhile"):
+        own.save(project, held["segment"]["id"], 1, "something else", "mine")
+    with pytest.raises(ValueError, match="must not be empty"):
+        own.save(project, held["segment"]["id"], 1, held["segment"]["target"], " ")
+    mine = own.save(project, held["segment"]["id"], 1, held["segment"]["target"], "mine")
+    assert mine["revision"] == 2 and revisions.held(mine["segment"]["meta"])["translation_protected"] is True
+    again = Workflow(spark, str(tmp_path / "state"), teller("v2"), options)
+    assert again.retranslate(project, "heron") == 2  # one refused, one edited by hand
+    new = {r.source: r for r in again.segments(project).collect()}
+    first = new["The heron slept."]
+    assert first.target == "1v2 The heron slept. 鹭" and first.target_before_polish == first.target and first.polish_status == "pending"
+    assert [r["kind"] for r in again.detail(project, first.id)["revisions"]] == ["legacy", "retranslation"]
+    assert new["Nobody came."].target == rows["Nobody came."].target
+    refused = new["A heron, refuse me."]
+    assert refused.target == rows["A heron, refuse me."].target and json.loads(refused.meta)["retranslation_error"] == "no answer"
+    assert new["His heron left."].target == "mine" and "by hand" in json.loads(new["His heron left."].meta)["retranslation_error"]
+    titles = {r.title: r.target_title for r in again.chapters(project).collect()}
+    assert "v2" in titles["Chapter heron"] and "v1" in titles["Chapter 1"]
+    seen = again.preview(project, held["segment"]["id"])["preview"]
+    with pytest.raises(ValueError, match="suggestion"):
+        again.save(project, held["segment"]["id"], 2, "mine", adopt="other")
+    taken = again.save(project, held["segment"]["id"], 2, "mine", adopt=seen["id"])
+    assert taken["segment"]["target"] == seen["target"] and taken["preview"] is None and taken["revision"] == 3
+    back = again.save(project, held["segment"]["id"], 3, seen["target"], restore=2)
+    assert back["segment"]["target"] == "mine" and [r["kind"] for r in back["revisions"]] == ["legacy", "manual", "adopt", "restore"]
+    files, path = again._at(f"locks/{project}")
+    assert files.createNewFile(path)
+    with pytest.raises(ValueError, match="in use"):
+        again.retranslate(project, "heron")
+    again.unlock(project)
+    assert run(parser().parse_args(["--state", str(tmp_path / "state"), "segment", project, first.id]), spark) == 0
+
+
+def test_rewrite_keeps_what_it_does_not_know():
+    """Odd metadata, equal texts and refused writes."""
+    new = revisions.rewrite("a", "d", None, '{"x": [1], "previous_target": "p"}', "b", "polish")
+    assert [(r["id"], r["target"], r["kind"]) for r in json.loads(new["meta"])["translation_revisions"]] == [(1, "p", "legacy_previous"), (2, "d", "legacy_draft"), (3, "a", "legacy"), (4, "b", "polish")]
+    assert json.loads(new["meta"])["x"] == [1] and json.loads(new["meta"])["previous_target"] == "a"
+    for meta in (None, "", "[1]", "{broken"):
+        assert revisions.rewrite("a", None, None, meta, "a", "manual") == {"target": "a", "draft": None, "polish_status": None, "meta": meta, "changed": False, "error": None}
+        assert revisions.rewrite(None, None, None, meta, "n", "translation")["changed"]
+    held = revisions.rewrite("a", None, "succeeded", '{"translation_protected": true}', "b", "retranslation")
+    assert held["target"] == "a" and held["error"] and not held["changed"]
