@@ -13,7 +13,8 @@ A bucket (the texts that share a band) starts from the classes that the first so
 is compared with those of other classes and leaves; a bucket in one class is settled. So a group of near copies costs
 about one comparison for each, not one for each pair. Texts of buckets that stay open mostly share a passage and nothing
 else. They are dealt anew by their rarest shingles (``prefixes``), in a way that no pair at the limit can escape; such
-buckets are compared pair by pair, except within a class and where the places of the shared shingle rule the pair out.
+buckets are compared pair by pair, except within a class. Before any comparison, the places of the shared shingle and
+the number of bits at which parity masks of the two sets differ rule pairs out, only such as are below the limit.
 No proposed pair is left out unless its texts are in one class already.
 
 Defined cases: null and wordless texts are copies of each other; texts under the shingle length are one shingle; of a
@@ -38,6 +39,9 @@ from quire.llm.simhash import links, majority
 BANDS, ROWS = 32, 4
 #: Shingles hashed for all rows of a signature at once: a table of 128 KB.
 SLICE = 256
+#: Bits of a mask, a power of two, and the names of its longs.
+MASK = 512
+WORDS = [f"w{k}" for k in range(MASK // 64)]
 _RNG = np.random.default_rng(11)
 MUL = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1), np.uint32) * np.uint32(2) + np.uint32(1)
 ADD = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
@@ -169,6 +173,23 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     return seen.withColumn("place", place).where(F.col("often").isNotNull() & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1)).select("key", "node", "size", "place")
 
 
+def masks(sets: DataFrame) -> DataFrame:
+    """(node, mask): of each shingle set (node, shingles), MASK bits that tell whether an odd number of its hashes falls on each, as longs."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [np.frombuffer(x, np.uint64) >> np.uint64(64 - MASK.bit_length() + 1) for x in batch.column(1).to_pylist()]
+        odd = np.array([np.packbits(np.bincount(x.astype(np.int64), minlength=MASK) & 1).view(np.int64) for x in own], np.int64).reshape(-1, MASK // 64)
+        return pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in odd.T]], ["node", *WORDS])
+
+    made = map_arrow(sets.select("node", "shingles"), rows, ", ".join(f"{c} long" for c in ["node", *WORDS]))
+    return made.select("node", F.struct(*WORDS).alias("mask"))
+
+
+def apart(a: str, b: str) -> Column:
+    """At how many bits two masks differ. Each shingle that only one of the sets has changes one bit, so the sets differ in at least as many shingles."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in WORDS])
+
+
 def _open(shared: DataFrame, found: DataFrame) -> DataFrame:
     """(key, node, size, place, root): the rows of buckets that hold more than one of the classes ``found``."""
     rooted = cut(shared.select("key", "node", "size", "place").join(few(found), "node", "left").select("key", "node", "size", "place", F.coalesce("root", "node").alias("root")))
@@ -186,6 +207,7 @@ def classes(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     pairs = cut(print_pairs(nodes.select("node", "fp"), max_bits))
     met = cut(shared.select("node").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
     sets = sets_of(cut(nodes.join(few(met), "node", "left_semi").select("k1", "k2")))
+    odd = cut(masks(sets))
     # What two sets can share from these places on must reach their least overlap; at place 1 this compares sizes alone.
     overlap = F.ceil((F.col("size") + F.col("pivot.size")) * (least / (1 + least)) - 1e-9)
     near = F.least(F.col("size") - F.col("place"), F.col("pivot.size") - F.col("pivot.place")) + 1 >= overlap
@@ -196,7 +218,9 @@ def classes(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
         return cut(components(reduce(DataFrame.unionByName, edges)))
 
     def compared(shared: DataFrame, pivot: DataFrame) -> DataFrame:
-        both = shared.join(pivot, "key").where((F.col("pivot.node") < F.col("node")) & (F.col("root") != F.col("pivot.root")) & near)
+        with_mask = pivot.select("key", "pivot.*").join(few(odd), "node").select("key", F.struct("node", "size", "place", "root", "mask").alias("pivot"))
+        both = shared.join(few(odd), "node").join(with_mask, "key").where((F.col("pivot.node") < F.col("node")) & (F.col("root") != F.col("pivot.root")) & near)
+        both = both.where(apart("mask", "pivot.mask") <= F.col("size") + F.col("pivot.size") - 2 * overlap)
         return linked(both.select(F.col("pivot.node").alias("u"), F.col("node").alias("v")))
 
     def pivoted(shared: DataFrame) -> tuple[DataFrame, DataFrame]:
