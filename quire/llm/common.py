@@ -41,6 +41,21 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def in_few_tasks(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df``, of at most ``rows`` narrow rows, in as many tasks as the cluster runs at once, more where a task would get over ``per_task`` rows.
+
+    An exchange writes files for every task before it, however few its rows are, so iterations over a small table in
+    many tasks fill disks with next to empty files. Tables with fewer tasks are left as they are.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, counted and read in few tasks."""
+    made = cut(df)
+    return in_few_tasks(made, made.count())
+
+
 def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", least: int = 1_000) -> DataFrame:
     """``big`` joined with ``small`` on one column, with no key in a single task.
 

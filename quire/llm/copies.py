@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import FEW, cut, few, map_arrow, raw, salted_join
+from quire.llm.common import FEW, cut, few, few_tasks, in_few_tasks, map_arrow, raw, salted_join
 from quire.llm.graph import components
 from quire.llm.simhash import links, majority
 
@@ -140,8 +140,10 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     left = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    both = salted_join(cut(pairs.distinct()), left, "u").join(right, "v").select("u", "v", "a", "b")
-    return cut(map_arrow(both, rows, "u long, v long"))
+    proposed = cut(pairs.distinct())
+    n = proposed.count()
+    both = salted_join(in_few_tasks(proposed, n), left, "u").join(right, "v").select("u", "v", "a", "b")
+    return in_few_tasks(cut(map_arrow(both, rows, "u long, v long")), n)
 
 
 def print_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -203,8 +205,8 @@ def classes(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     nodes = cut(texts.groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("first"), F.min("fp").alias("fp")).select("node", "first.k1", "first.k2", "fp"))
     dealt = texts.select("node", "size", F.lit(1).alias("place"), F.explode("keys").alias("key"))
     many = cut(dealt.groupBy("key").agg(F.min("node").alias("__low"), F.max("node").alias("__high")).where("__low <> __high").select("key"))
-    shared = cut(dealt.join(few(many), "key", "left_semi").distinct())
-    pairs = cut(print_pairs(nodes.select("node", "fp"), max_bits))
+    shared = few_tasks(dealt.join(few(many), "key", "left_semi").distinct())
+    pairs = few_tasks(print_pairs(nodes.select("node", "fp"), max_bits))
     met = cut(shared.select("node").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("node"))).distinct())
     sets = sets_of(cut(nodes.join(few(met), "node", "left_semi").select("k1", "k2")))
     odd = cut(masks(sets))
@@ -233,7 +235,7 @@ def classes(texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least:
     if shared.isEmpty():
         return found
     left = cut(shared.select("node").distinct())
-    shared = _open(cut(prefixes(sets.join(few(left), "node", "left_semi"), least)), found)
+    shared = _open(few_tasks(prefixes(sets.join(few(left), "node", "left_semi"), least)), found)
     return found if shared.isEmpty() else compared(shared, shared.select("key", F.struct("node", "size", "place", "root").alias("pivot")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, salted_join
+from quire.llm.common import cut, in_few_tasks, salted_join
 
 FEW = 400_000
 
@@ -22,10 +22,10 @@ def _large_star(edges: DataFrame, n: int) -> DataFrame:
 
 
 def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    down = in_few_tasks(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), n)
     found = _with_least(down if n <= FEW else cut(down), n)
     moved = found.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    return in_few_tasks(moved.unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), 2 * n)
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -41,7 +41,9 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         if seen[0] == 0 or seen == state:
             break
         state = seen
-        now = cut(_small_star(_large_star(now, seen[0]), 2 * seen[0]))
+        now = cut(_small_star(_large_star(in_few_tasks(now, seen[0]), seen[0]), 2 * seen[0]))
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    now = in_few_tasks(now, seen[0])
+    roots = in_few_tasks(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct(), seen[0])
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
